@@ -2,7 +2,25 @@
 
 _RULES = "(VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) r(rule_host, rule_path, rule_verdict)"
 
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _from, _to in (("<|", "<\\|"), ("<s>", "<\\s>"), ("</s>", "<\\/s>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"), ("<<SYS>>", "<\\<SYS>>"), ("<</SYS>>", "<\\</SYS>>")):
+    _ESCAPED = f"replace({_ESCAPED}, '{_from}', '{_to}')"
+
 ORACLE_SQL = {
+    "op4_chat_trees": f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+turns AS (
+  SELECT *, length('<|im_start|>') + length(replace({_ESCAPED.format("role")}, chr(10), '\\' || chr(10))) + 1
+            + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1 AS chars
+  FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
     "op5_url_filter": f"""
 WITH split AS (
   SELECT row_number() OVER () AS n, page_id,
@@ -22,4 +40,17 @@ fits AS (
   GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM urls LEFT JOIN fits USING (n)""",
+    # as the pages are: one article each, of headings and paragraphs
+    "op9_html_extraction": r"""
+WITH parts AS (
+  SELECT row_number() OVER () AS n, page_id, url,
+         regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)</article>', 1, 's'), '</?(h[1-6]|p|div|ul|ol|li|blockquote|section)(\s[^>]*)?>') AS blocks
+  FROM pages),
+cleaned AS (
+  SELECT n, page_id, url, list_filter(list_transform(blocks, lambda b:
+           trim(regexp_replace(replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(b, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+             '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', chr(1), 'g'), chr(1), '&'), '\s+', ' ', 'g'))), lambda b: b <> '') AS blocks
+  FROM parts)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, length(array_to_string(blocks, chr(10) || chr(10))) AS n_chars
+FROM cleaned""",
 }
