@@ -5,6 +5,519 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ferrule.catalog_sql import GEO, ORACLE_SQL, ORDER_GEO, PARTS, RULE_TEXTS, SETS, TRUTH_SETS
+from ferrule.functions.text import row_sentence, short_number, weighted_sentence
+from ferrule.functions.vectors import cosine, dot, euclidean, gaussian_kernel, manhattan, normalised
+from ferrule.operators import clustering, comparison, correlation, evaluation, mining, profiling, retrieval, sampling, verification
+from ferrule.operators.rules import COLUMNS, constant_rule_text, presented, rule_text
+from ferrule.plans import jobs
+from ferrule.plans.lattice import compressed
+from ferrule.sources import examples
+from ferrule.sources.rules import parsed, parsed_constant
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def geo(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with their nation and region; tid is the customer."""
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("c_custkey").alias("tid"), *GEO)
+
+
+def order_geo(spark: SparkSession, folder: str) -> DataFrame:
+    customers = geo(spark, folder).select("tid", "c_mktsegment", "r_name").withColumnRenamed("tid", "customer")
+    rows = table(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("customer"))
+    return rows.select(F.col("o_orderkey").alias("tid"), *ORDER_GEO)
+
+
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("tid"), *PARTS)
+
+
+def texts(spark: SparkSession, lines: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+# counts and profiles
+
+
+@query
+def item_frequency(spark, folder):
+    return profiling.item_frequencies(geo(spark, folder), GEO)
+
+
+@query
+def frequent_items(spark, folder):
+    return profiling.frequent_items(parts(spark, folder), PARTS, 40)
+
+
+@query
+def column_profile(spark, folder):
+    out = profiling.column_profile(parts(spark, folder), PARTS)
+    return out.select("attr", "n_distinct", "top", "spread", *[F.round(c, 9).alias(c) for c in ("entropy", "shannon", "simpson")])
+
+
+@query
+def gini(spark, folder):
+    return profiling.gini(table(spark, folder, "lineitem"), "l_quantity").select(F.round("gini", 9).alias("gini"))
+
+
+@query
+def pair_frequent_values(spark, folder):
+    return profiling.pair_scores(parts(spark, folder), PARTS, 5)
+
+
+@query
+def frequent_pairs(spark, folder):
+    return profiling.frequent_pairs(order_geo(spark, folder), ORDER_GEO, 50)
+
+
+@query
+def columns_with_support(spark, folder):
+    return profiling.columns_with_support(parts(spark, folder), PARTS, 60)
+
+
+@query
+def sign_columns(spark, folder):
+    return profiling.sign_columns(order_geo(spark, folder), ORDER_GEO)
+
+
+@query
+def factorised(spark, folder):
+    return profiling.factorised(order_geo(spark, folder), "o_orderpriority", "tid")
+
+
+# dependencies and rules
+
+
+@query
+def partition_count(spark, folder):
+    sets = mining.class_counts(compressed(geo(spark, folder), GEO), GEO, 3)
+    return sets.select(F.array_join("attrs", ",").alias("attrs"), "n_classes")
+
+
+@query
+def fd_error(spark, folder):
+    out = mining.fd_measures(geo(spark, folder), GEO, 2)
+    return out.select(F.array_join("lhs", ",").alias("lhs"), "rhs", "n_classes", "support", "error")
+
+
+@query
+def fd_confidence(spark, folder):
+    out = mining.fd_measures(order_geo(spark, folder), ORDER_GEO, 2)
+    return out.select(F.array_join("lhs", ",").alias("lhs"), "rhs", "confidence")
+
+
+@query
+def variable_cfds(spark, folder):
+    return presented(mining.variable_rules(order_geo(spark, folder), ORDER_GEO, 2, 20, 0.3))
+
+
+@query
+def mixed_tableau(spark, folder):
+    return presented(mining.variable_rules(geo(spark, folder), GEO, 3, 20))
+
+
+@query
+def constant_cfds(spark, folder):
+    return presented(mining.constant_rules(geo(spark, folder), GEO, 2, 10, 1.0))
+
+
+@query
+def minimal_rules(spark, folder):
+    return presented(mining.mine(geo(spark, folder), GEO, 10, 0.5, 2))
+
+
+@query
+def minimal_parts(spark, folder):
+    return presented(mining.mine(parts(spark, folder), PARTS, 5, 0.6, 2, "Itemset-First-BFS-dfs"))
+
+
+@query
+def free_sets(spark, folder):
+    rows = geo(spark, folder)
+    return mining.free_left_sides(None, rows, GEO, 3).select(F.array_join("attrs", ",").alias("attrs"), "n_classes")
+
+
+@query
+def closures(spark, folder):
+    out = mining.generators(geo(spark, folder), GEO, 2, 10)
+    return out.select(F.array_join("gen", ",").alias("gen"), "support", F.array_join("closure", ",").alias("closure"))
+
+
+@query
+def sub_table_rules(spark, folder):
+    out = jobs.mine_sub_tables(geo(spark, folder), [("n_name", "r_name"), ("c_mktsegment", "r_name", "n_regionkey")], 10, 0.5, 2)
+    return out.select("set_id", rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value")).alias("rule"), "support", "hits")
+
+
+# checking rules
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return parsed(texts(spark, RULE_TEXTS))
+
+
+@query
+def rule_support_confidence(spark, folder):
+    return verification.measures(order_geo(spark, folder), rules(spark), "tid")
+
+
+@query
+def rule_precision(spark, folder):
+    return verification.precision(verification.measures(order_geo(spark, folder), rules(spark), "tid"), 100, 0.3)
+
+
+@query
+def constant_violations(spark, folder):
+    constant = rules(spark).where("rhs_value is not null")
+    return verification.violations(order_geo(spark, folder), constant, "tid")
+
+
+@query
+def fd_violations_multi(spark, folder):
+    return verification.violations(order_geo(spark, folder), rules(spark).where("rhs_value is null"), "tid", "multiple")
+
+
+@query
+def fd_violations_mode(spark, folder):
+    return verification.violations(order_geo(spark, folder), rules(spark).where("rhs_value is null"), "tid", "mode")
+
+
+@query
+def fd_violations_first(spark, folder):
+    return verification.violations(order_geo(spark, folder), rules(spark).where("rhs_value is null"), "tid", "first")
+
+
+@query
+def running_violations(spark, folder):
+    return verification.running_violations(geo(spark, folder), ["r_name", "c_mktsegment"], "n_name", "tid")
+
+
+@query
+def supplemented_sample(spark, folder):
+    rows = order_geo(spark, folder)
+    found = verification.violations(rows, rules(spark).where("rhs_value is not null"), "tid")
+    return verification.supplemented(sampling.simple_sample(rows, 100, "tid"), rows, found, "tid")
+
+
+@query
+def expanded_rules(spark, folder):
+    out = verification.expanded(order_geo(spark, folder), rules(spark).where("rhs_value is null"), "tid")
+    return out.select("rule_id", F.array_join("key", ",").alias("key"), "rhs")
+
+
+# comparing rules and sets
+
+
+def two_rule_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(mining.mine(geo(spark, folder), GEO, least, 0.5, 2) for least in (10, 60))
+
+
+@query
+def rule_intersect(spark, folder):
+    out = comparison.identical(*two_rule_sets(spark, folder))
+    return out.select(rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value")).alias("rule"))
+
+
+@query
+def rule_subsumption(spark, folder):
+    mined, _ = two_rule_sets(spark, folder)
+    every = mining.constant_rules(geo(spark, folder), GEO, 2, 60, 0.9).select(*COLUMNS)
+    out = comparison.subsumed(mined, every)
+    text = lambda s: rule_text(F.col(f"{s}_lhs"), F.col(f"{s}_rhs_attr"), F.col(f"{s}_rhs_value")).alias(s)
+    return out.select(text("a"), text("b"), "distance")
+
+
+@query
+def embedded_fd_match(spark, folder):
+    out = comparison.embedded(*two_rule_sets(spark, folder))
+    return out.select(F.array_join("lhs_a", ",").alias("lhs_a"), "rhs_attr", F.array_join("lhs_b", ",").alias("lhs_b"), "relation")
+
+
+@query
+def rule_scores(spark, folder):
+    found, truth = two_rule_sets(spark, folder)
+    return comparison.scores(found, truth)
+
+
+@query
+def constant_rule_texts(spark, folder):
+    found = mining.minimal(mining.constant_rules(geo(spark, folder), GEO, 2, 60, 1.0))
+    again = parsed_constant(found.select(constant_rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value")).alias("value")))
+    return again.select("rule_id", rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value")).alias("rule"))
+
+
+def sets(spark: SparkSession, lists) -> DataFrame:
+    return spark.createDataFrame([(list(x),) for x in lists], "attrs array<string>")
+
+
+@query
+def max_sets(spark, folder):
+    return comparison.maximal_sets(sets(spark, SETS)).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+@query
+def uncovered_sets(spark, folder):
+    return comparison.uncovered_sets(sets(spark, TRUTH_SETS), sets(spark, SETS)).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+@query
+def attribute_counts(spark, folder):
+    return comparison.attribute_counts(sets(spark, SETS))
+
+
+# rows as text and numbers
+
+
+@query
+def row_sentence_of_parts(spark, folder):
+    return parts(spark, folder).select("tid", row_sentence(PARTS).alias("sentence"))
+
+
+@query
+def weighted_row_sentence(spark, folder):
+    return parts(spark, folder).select("tid", weighted_sentence(PARTS, {"p_brand": 2, "p_type": 1}).alias("sentence"))
+
+
+@query
+def sub_table(spark, folder):
+    rows = table(spark, folder, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", short_number(F.col("l_discount")).alias("l_discount"), short_number(F.col("l_quantity")).alias("l_quantity"))
+
+
+@query
+def bag_of_words(spark, folder):
+    return examples.bag_of_words(table(spark, folder, "benchmark"), "item_id", "text")
+
+
+# samples
+
+
+@query
+def minhash_sample(spark, folder):
+    return sampling.round_robin(sampling.signature_buckets(order_geo(spark, folder), ORDER_GEO, "tid"), 500).select("tid", "round")
+
+
+@query
+def cluster_quota(spark, folder):
+    sizes = parts(spark, folder).groupBy(F.col("p_name").alias("cluster")).agg(F.count("*").alias("size"))
+    return sampling.quotas(sizes, 700)
+
+
+@query
+def cluster_quota_sample(spark, folder):
+    return sampling.cluster_sample(parts(spark, folder).select("tid", F.col("p_size").cast("string").alias("cluster")), 300)
+
+
+@query
+def simple_sample(spark, folder):
+    return sampling.simple_sample(order_geo(spark, folder), 250, "tid")
+
+
+# correlated columns
+
+
+@query
+def pearson_pairs(spark, folder):
+    return correlation.pearson_pairs(table(spark, folder, "lineitem"), LINES).select("a", "b", F.round("r", 9).alias("r"))
+
+
+@query
+def mean_correlation(spark, folder):
+    return correlation.mean_correlation(correlation.pearson_pairs(table(spark, folder, "lineitem"), LINES)).select("attr", F.round("mean_r", 9).alias("mean_r"))
+
+
+@query
+def topk_correlated(spark, folder):
+    return correlation.top_correlated(correlation.pearson_pairs(table(spark, folder, "lineitem"), LINES), 2).select("attr", "other", F.round("r", 9).alias("r"), "rank")
+
+
+@query
+def lasso_sets(spark, folder):
+    found = correlation.lasso_sets(table(spark, folder, "lineitem"), LINES, 0.01, 3)
+    return sets(spark, found).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+@query
+def forest_sets(spark, folder):
+    found = correlation.forest_sets(table(spark, folder, "lineitem"), LINES, 3)
+    return sets(spark, found).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+@query
+def pca_sets(spark, folder):
+    found = correlation.principal_components(table(spark, folder, "lineitem"), LINES, 3)
+    return sets(spark, correlation.component_sets(found, LINES)).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+@query
+def kernel_pca_sets(spark, folder):
+    found = correlation.kernel_components(table(spark, folder, "lineitem"), LINES, 3)
+    return sets(spark, correlation.component_sets(found, LINES)).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+@query
+def hierarchical_sets(spark, folder):
+    return sets(spark, correlation.hierarchical_sets(table(spark, folder, "lineitem"), LINES, 2)).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+# vectors
+
+
+def asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The search's stated queries: every vector whose id is divisible by 100."""
+    return vectors(spark, folder).where(F.col("id") % 100 == 0)
+
+
+@query
+def semantic_search(spark, folder):
+    out = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder), 10)
+    return out.select("query_id", "corpus_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def dot_search(spark, folder):
+    out = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder), 5, "dot")
+    return out.select("query_id", "corpus_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def pair_mining(spark, folder):
+    return retrieval.mined_pairs(vectors(spark, folder), 10, 100).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query
+def similarity_histogram(spark, folder):
+    found = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder), 50)
+    return retrieval.similarity_histogram(found.withColumn("score", F.round("score", 6)))
+
+
+def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector with the next one by id, and whether they have one label."""
+    rows = vectors(spark, folder)
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"), F.col("label").alias("other_label"))
+    return rows.join(after, "id")
+
+
+@query
+def vector_functions(spark, folder):
+    a, b = F.col("vector"), F.col("other")
+    made = {"cosine": cosine(a, b), "dot": dot(a, b), "euclidean": euclidean(a, b), "manhattan": manhattan(a, b), "kernel": gaussian_kernel(a, b, 0.15), "first": normalised(a)[0]}
+    return vector_pairs(spark, folder).select("id", *[F.round(c, 6).alias(k) for k, c in made.items()])
+
+
+def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = vector_pairs(spark, folder)
+    return pairs.select(F.round(cosine(F.col("vector"), F.col("other")), 6).alias("score"), (F.col("label") == F.col("other_label")).cast("int").alias("label"))
+
+
+@query
+def binary_best_f1(spark, folder):
+    return evaluation.best_f1(scored_pairs(spark, folder)).select(*[F.round(c, 9).alias(c) for c in ("f1", "precision", "recall", "threshold")])
+
+
+@query
+def binary_best_accuracy(spark, folder):
+    return evaluation.best_accuracy(scored_pairs(spark, folder)).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "threshold")])
+
+
+@query
+def average_precision(spark, folder):
+    return evaluation.average_precision(scored_pairs(spark, folder)).select(F.round("ap", 9).alias("ap"))
+
+
+@query
+def ir_metrics(spark, folder):
+    found = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder), 11).where("query_id <> corpus_id")
+    found = found.select("query_id", "corpus_id", (F.col("rank") - 1).alias("rank")).where("rank > 0")
+    labels = vectors(spark, folder).select("id", "label")
+    relevant = labels.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "label").join(labels.withColumnRenamed("id", "corpus_id"), "label").where("query_id <> corpus_id")
+    return evaluation.ranking_measures(found, relevant.select("query_id", "corpus_id"), 10).select("queries", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "mrr", "ndcg", "map")])
+
+
+@query
+def rerank_metrics(spark, folder):
+    found = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder), 20)
+    labels = vectors(spark, folder).select("id", "label")
+    at = found.join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("mine")), "query_id").join(labels.select(F.col("id").alias("corpus_id"), "label"), "corpus_id")
+    scored = at.select("query_id", F.col("corpus_id").alias("doc_id"), F.round("score", 6).alias("score"), (F.col("mine") == F.col("label")).cast("int").alias("label"))
+    return evaluation.rerank_measures(scored, 10).select("queries", *[F.round(c, 9).alias(c) for c in ("map", "mrr")])
+
+
+@query
+def score_correlations(spark, folder):
+    pairs = vector_pairs(spark, folder).select(F.round(cosine(F.col("vector"), F.col("other")), 6).alias("x"), (F.col("label") - F.col("other_label")).alias("y"))
+    return evaluation.correlations(pairs, "x", "y").select(*[F.round(c, 9).alias(c) for c in ("pearson", "spearman")])
+
+
+@query
+def triplet_accuracy(spark, folder):
+    rows = vectors(spark, folder)
+    next_ = lambda k, name: rows.select((F.col("id") - k).alias("id"), F.col("vector").alias(name))
+    at = rows.select("id", F.col("vector").alias("anchor")).join(next_(1, "positive"), "id").join(next_(2, "negative"), "id")
+    return evaluation.triplet_accuracy(at)
+
+
+@query
+def translation_accuracy(spark, folder):
+    found = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder).where(F.col("id") % 100 == 1).withColumn("id", F.col("id") - 1), 1000)
+    scores = found.select(F.col("query_id").alias("source_id"), F.col("corpus_id").alias("target_id"), F.round("score", 6).alias("score"))
+    return evaluation.translation_accuracy(scores)
+
+
+@query
+def label_accuracy(spark, folder):
+    rows = vectors(spark, folder).select(F.slice("vector", 1, 10).alias("scores"), "label")
+    return evaluation.label_accuracy(rows, "scores", "label")
+
+
+@query
+def vector_mse(spark, folder):
+    return evaluation.mean_squared_error(vector_pairs(spark, folder), "vector", "other").select(F.round("mse", 6).alias("mse"))
+
+
+@query
+def cluster_means(spark, folder):
+    rows = vectors(spark, folder)
+    out = clustering.means(rows.select("id", "vector"), rows.select("id", F.col("label").alias("cluster")))
+    return out.select("cluster", F.posexplode("vector").alias("at", "x")).select("cluster", "at", F.round("x", 6).alias("x"))
+
+
+@query
+def k_means_clusters(spark, folder):
+    rows = vectors(spark, folder).select("id", "vector")
+    centres = rows.where("id < 10").select(F.col("id").cast("int").alias("cluster"), F.col("vector").cast("array<double>").alias("vector"))
+    return clustering.k_means_from(rows, centres, 3).select("id", "cluster")
+
+
+@query
+def dbscan_clusters(spark, folder):
+    return clustering.dbscan(vectors(spark, folder).select("id", "vector"), 0.9, 4)
+
+
+@query
+def vector_communities(spark, folder):
+    found = clustering.communities(vectors(spark, folder).select("id", "vector"), 0.5, 3)
+    return spark.createDataFrame([(k, i) for k, g in enumerate(found) for i in g], "community int, id long")

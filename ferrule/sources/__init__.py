@@ -1 +1 @@
-
+"""Readers and writers: tables, rules, attribute sets, jobs, examples."""

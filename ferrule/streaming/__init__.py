@@ -1 +1 @@
-
+"""The engine's counts as structured streams."""
