@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 #: What a block of text gives to the containers around it, nearest first.
 SHARES = (1.0, 0.5, 0.25)
+DEEPEST = 100
 #: Rows (host and path, some 100 bytes) up to which the winners are broadcast; beyond, pages are shuffled by host.
 BROADCAST_HOSTS = 100_000
 
@@ -58,9 +60,11 @@ class Block:
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[str]]:
-    """The page's blocks that aren't skipped, in order, and the paths of its containers by number."""
+    """The page's blocks that aren't skipped, in order, and the paths of its containers by number; number 0
+    is the whole page. Containers more than DEEPEST deep count as the one around them."""
     blocks: list[Block] = []
-    paths: list[str] = []
+    paths: list[str] = [""]
+    around, opened = [0], Counter()
     stack: list[tuple[str, int, bool]] = []  # tag, container or -1, skipped
     block: Block | None = None
     links = at = 0
@@ -73,7 +77,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
         if block is None:
             if text.isspace():
                 return
-            block = Block(tuple(c for _, c, _ in reversed(stack) if c >= 0))
+            block = Block(tuple(reversed(around)))
             blocks.append(block)
         block.parts.append(text)
         if links:
@@ -82,7 +86,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
     def leave(n: int) -> None:
         nonlocal skipped, links, block
         while len(stack) > n:
-            tag, _, skips = stack.pop()
+            tag, number, skips = stack.pop()
+            opened[tag] -= 1
+            if number >= 0:
+                around.pop()
             skipped -= skips
             links -= tag == "a"
             if tag not in INLINE:
@@ -95,7 +102,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
         if not tag:  # a comment or a declaration: nothing
             continue
         if found[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if opened[tag] else None
             if depth is not None and (tag not in INLINE or all(t in INLINE or t == tag for t, _, _ in stack[depth:])):
                 leave(depth)
             elif tag == "p":
@@ -120,12 +127,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
         skipped += skips
         links += tag == "a"
         number = -1
-        if tag not in INLINE and tag not in ("p", "html", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag not in INLINE and tag not in ("p", "html", "h1", "h2", "h3", "h4", "h5", "h6") and len(around) <= DEEPEST:
             number = len(paths)
-            above = next((paths[c] for _, c, _ in reversed(stack) if c >= 0), "")
             label = ".".join([tag, *sorted(re.sub(r"\d+", "N", classes).split())])
-            paths.append(f"{above}>{label}" if above else label)
+            paths.append(f"{paths[around[-1]]}>{label}")
+            around.append(number)
         stack.append((tag, number, bool(skips)))
+        opened[tag] += 1
     say(page[at:])
     return blocks, paths
 
@@ -143,8 +151,8 @@ def best_path(blocks: list[Block], paths: list[str]) -> tuple[str | None, float]
         return None, 0.0
     best = max(scores, key=lambda c: (scores[c], -c))
     chain = next(b.chain for b in blocks if best in b.chain)
-    around = [c for c in chain[chain.index(best) :] if paths[c].rpartition(">")[2].split(".")[0] in ("article", "main")]
-    return paths[around[0] if around else best], scores[best] / total
+    whole = [c for c in chain[chain.index(best) :] if paths[c].rpartition(">")[2].split(".")[0] in ("article", "main")]
+    return paths[whole[0] if whole else best], scores[best] / total
 
 
 def main_text(page: str | None, path: str | None = None) -> str:
