@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm import chat_trees, decontamination, html_extraction, line_dedup, ngram_join, quality_rules, source_mixing, token_counts, toxicity, url_filter
+from ferrule.llm.shared import importable
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
