@@ -268,6 +268,11 @@ SELECT round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM
     "triplet_accuracy": """WITH t AS (SELECT a.embedding::DOUBLE[] AS a, p.embedding::DOUBLE[] AS p, n.embedding::DOUBLE[] AS n FROM embeddings a JOIN embeddings p ON p.vec_id = a.vec_id + 1 JOIN embeddings n ON n.vec_id = a.vec_id + 2)
 SELECT avg(CAST(list_cosine_similarity(a, p) > list_cosine_similarity(a, n) AS INTEGER)) AS cosine, avg(CAST(list_distance(a, p) < list_distance(a, n) AS INTEGER)) AS euclidean,
  avg(CAST(list_sum(list_transform(list_zip(a, p), lambda x: abs(x[1] - x[2]))) < list_sum(list_transform(list_zip(a, n), lambda x: abs(x[1] - x[2]))) AS INTEGER)) AS manhattan FROM t""",
+    "translation_accuracy": f"""WITH met AS (SELECT q.vec_id AS s, c.vec_id - 1 AS t, q.embedding::DOUBLE[] AS u, c.embedding::DOUBLE[] AS v FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id % 100 = 1),
+scores AS (SELECT s, t, round({_COSINE}, 6) AS score FROM met),
+f AS (SELECT avg(CAST(s = t AS INTEGER)) AS forward FROM (SELECT s, t FROM scores QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, t) = 1) x),
+b AS (SELECT avg(CAST(s = t AS INTEGER)) AS backward FROM (SELECT s, t FROM scores QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, s) = 1) x)
+SELECT forward, backward, (forward + backward) / 2 AS accuracy FROM f, b""",
     "label_accuracy": "SELECT avg(CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label AS INTEGER)) AS accuracy FROM embeddings",
     "vector_mse": f"WITH {_PAIRS} SELECT round(100 * sum(list_sum(list_transform(list_zip(u, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) / sum(len(u)), 6) AS mse FROM pairs",
     "cluster_means": "WITH e AS (SELECT label AS cluster, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS k FROM embeddings) SELECT cluster, CAST(k AS INTEGER) AS \"at\", round(avg(x), 6) AS x FROM e GROUP BY 1, 2",
