@@ -1,0 +1,36 @@
+"""Line dedup does its whole job: all words count, and all pairs within the stated bits meet."""
+
+import random
+
+from ferrule.llm import line_dedup
+
+
+def test_all_words_count(spark):
+    """Up to as many words as there are columns, and beyond."""
+    lines = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 32), ("b", 33), ("c", 128), ("d", 254), ("e", 255), ("f", 256), ("g", 700))]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for x in lines for w in x.split()], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    for r in line_dedup.with_simhash(df).collect():
+        words = set(r.line.split())
+        bits = [2 * sum(hashed[w] >> k & 1 for w in words) > len(words) for k in range(64)]
+        assert r.simhash & (2**64 - 1) == sum(b << k for k, b in enumerate(bits))
+
+
+def test_all_pairs_within_the_bits_meet(spark):
+    """Lines that differ in BITS bits, dealt over all blocks, and in length, link."""
+    rng = random.Random(3)
+    rows, wanted = [], set()
+    for k in range(0, 400, 2):
+        h, size = rng.getrandbits(64), rng.randint(20, 900)
+        other = h
+        for bit in rng.sample(range(64), line_dedup.BITS):
+            other ^= 1 << bit
+        signed = [x - (1 << 64) if x >> 63 else x for x in (h, other)]
+        most = size * (100 - line_dedup.SIMILAR) // 100
+        rows += [(k, signed[0], 1, size, "x" * size), (k + 1, signed[1], 1, size - most, "x" * (size - most))]
+        wanted.add((k, k + 1))
+    df = spark.createDataFrame(rows, "hash long, simhash long, n long, size int, line string")
+    # texts of one letter: only the bits and the lengths decide
+    found = line_dedup.fuzzy_groups(df.drop("line"), lambda pairs: df.select("hash", "line")).collect()
+    of = {r.node: r.component for r in found}
+    assert all(a in of and of[a] == of[b] for a, b in wanted)
