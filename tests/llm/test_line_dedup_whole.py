@@ -34,3 +34,12 @@ def test_all_pairs_within_the_bits_meet(spark):
     found = line_dedup.fuzzy_groups(df.drop("line"), lambda pairs: df.select("hash", "line")).collect()
     of = {r.node: r.component for r in found}
     assert all(a in of and of[a] == of[b] for a, b in wanted)
+
+
+def test_punctuation_of_any_script_is_a_space(spark):
+    """Copies that differ only in non-ASCII punctuation or spaces are equal."""
+    plain = "say what you want to say and then go home"
+    typeset = ["«\u00a0say what you want to say\u00a0» and then go home", "“say” what you want — to say… and then go home", "¿say what you want to say? and then go\u3000home"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([plain, *typeset])], "doc_id long, text string")
+    assert {r.line for r in line_dedup.occurrences(df, "doc_id", "text").collect()} == {plain}
+    assert {r.n_removed for r in line_dedup.dedup_lines(df).where("doc_id > 0").collect()} == {1}
