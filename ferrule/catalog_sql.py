@@ -273,6 +273,9 @@ scores AS (SELECT s, t, round({_COSINE}, 6) AS score FROM met),
 f AS (SELECT avg(CAST(s = t AS INTEGER)) AS forward FROM (SELECT s, t FROM scores QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, t) = 1) x),
 b AS (SELECT avg(CAST(s = t AS INTEGER)) AS backward FROM (SELECT s, t FROM scores QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, s) = 1) x)
 SELECT forward, backward, (forward + backward) / 2 AS accuracy FROM f, b""",
+    "translation_accuracy_all_rows": f"""WITH met AS (SELECT q.vec_id AS q, c.vec_id AS c, q.embedding::DOUBLE[] AS u, c.embedding::DOUBLE[] AS v FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 IN (0, 1)),
+best AS (SELECT q, c FROM (SELECT q, c, round({_COSINE}, 6) AS score FROM met) x QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, c) = 1)
+SELECT *, (forward + backward) / 2 AS accuracy FROM (SELECT avg(CAST(c = q + 1 AS INTEGER)) FILTER (q % 100 = 0) AS forward, avg(CAST(c = q - 1 AS INTEGER)) FILTER (q % 100 = 1) AS backward FROM best) y""",
     "label_accuracy": "SELECT avg(CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label AS INTEGER)) AS accuracy FROM embeddings",
     "vector_mse": f"WITH {_PAIRS} SELECT round(100 * sum(list_sum(list_transform(list_zip(u, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) / sum(len(u)), 6) AS mse FROM pairs",
     "cluster_means": "WITH e AS (SELECT label AS cluster, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS k FROM embeddings) SELECT cluster, CAST(k AS INTEGER) AS \"at\", round(avg(x), 6) AS x FROM e GROUP BY 1, 2",

@@ -52,3 +52,13 @@ def neighbours(vectors: DataFrame, least: float, similarity: str = "cosine") ->
 def similarity_histogram(pairs: DataFrame, width: float = 0.02) -> DataFrame:
     """(bin, n) of scores."""
     return pairs.groupBy(F.floor(F.col("score") / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def all_scores(queries: DataFrame, corpus: DataFrame, similarity: str = "cosine") -> DataFrame:
+    """(query_id, corpus_id, score) of each query and each row, for aggregates that need no order: made as
+    they are read, and summed before a shuffle."""
+    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    if queries.count() <= BROADCAST_QUERIES:
+        asked = F.broadcast(asked)
+    met = corpus.select(F.col("id").alias("corpus_id"), "vector").join(asked, F.lit(True))
+    return met.select("query_id", "corpus_id", SIMILARITIES[similarity](F.col("query"), F.col("vector")).alias("score")).where("score is not null")
