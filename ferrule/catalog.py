@@ -410,10 +410,18 @@ def pair_mining(spark, folder):
 
 @query
 def similarity_histogram(spark, folder):
+    """Scores of each stated query's 50 nearest rows, as the SQL has them."""
     found = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder), 50)
     return retrieval.similarity_histogram(found.withColumn("score", F.round("score", 6)))
 
 
+@query
+def similarity_histogram_all_rows(spark, folder):
+    """Scores of the stated queries with all rows, those below 0 too."""
+    found = retrieval.all_scores(asked(spark, folder), vectors(spark, folder))
+    return retrieval.similarity_histogram(found.withColumn("score", F.round("score", 6)))
+
+
 def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector with the next one by id, and whether they have one label."""
     rows = vectors(spark, folder)

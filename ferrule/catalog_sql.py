@@ -246,6 +246,7 @@ SELECT m.rule_id, tid FROM m JOIN best b ON m.rule_id = b.rule_id AND m.key = b.
     "dot_search": f"WITH {_search(_DOT, 5)} SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM found",
     "pair_mining": f"WITH met AS (SELECT q.vec_id AS a, c.vec_id AS b, q.embedding::DOUBLE[] AS u, c.embedding::DOUBLE[] AS v FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id), scores AS (SELECT a, b, {_COSINE} AS score FROM met QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 10) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS score FROM scores GROUP BY 1, 2 ORDER BY max(scores.score) DESC, 1, 2 LIMIT 100",
     "similarity_histogram": f"WITH {_search(_COSINE, 50)} SELECT CAST(floor(round(score, 6) / 0.02) AS BIGINT) AS bin, count(*) AS n FROM found GROUP BY 1",
+    "similarity_histogram_all_rows": f"WITH met AS (SELECT q.embedding::DOUBLE[] AS u, c.embedding::DOUBLE[] AS v FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) SELECT CAST(floor(round({_COSINE}, 6) / 0.02) AS BIGINT) AS bin, count(*) AS n FROM met GROUP BY 1",
     "vector_functions": f"""WITH {_PAIRS}, d AS (SELECT *, list_sum(list_transform(list_zip(u, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM pairs)
 SELECT id, round({_COSINE}, 6) AS cosine, round({_DOT}, 6) AS dot, round(sqrt(d2), 6) AS euclidean, round(list_sum(list_transform(list_zip(u, v), lambda p: abs(p[1] - p[2]))), 6) AS manhattan, round(exp(-0.15 * d2), 6) AS kernel, round(u[1] / sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS first FROM d""",
     "binary_best_f1": f"WITH {_CURVE} SELECT round(2 * hit / (n + pos), 9) AS f1, round(hit / n, 9) AS precision, round(hit / pos, 9) AS recall, round(threshold, 9) AS threshold FROM cuts WHERE hit > 0 ORDER BY 2 * hit / (n + pos) DESC, cuts.threshold DESC LIMIT 1",

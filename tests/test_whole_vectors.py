@@ -25,3 +25,9 @@ def test_translations_among_all_rows(spark, tmp_path):
     got = QUERIES["translation_accuracy_all_rows"](spark, str(tmp_path)).first()
     assert (got.forward, got.backward, got.accuracy) == (0.5, 0.5, 0.5)
     assert QUERIES["translation_accuracy"](spark, str(tmp_path)).first().forward == 1.0
+
+
+def test_histogram_counts_every_score(spark):
+    n = spark.read.parquet(f"{FOLDER}/embeddings.parquet").selectExpr("count(*) * count_if(vec_id % 100 = 0) AS n").first().n
+    bins = QUERIES["similarity_histogram_all_rows"](spark, FOLDER).collect()
+    assert sum(r.n for r in bins) == n and any(r.bin < 0 for r in bins)
