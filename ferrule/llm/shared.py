@@ -34,7 +34,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     costs only its running tasks. The folder goes when the Python process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ferrule-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path.rsplit("/", 1)[0]))
     return spark.read.schema(df.schema).parquet(path)
 
