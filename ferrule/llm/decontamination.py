@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.shared import keep
+from ferrule.llm.shared import keep, spare
 
 WINDOW, LITERAL, COVERED = 8, 4, 0.3
 #: Rows (24 bytes each) of benchmark windows up to which they are broadcast; beyond, both sides are
@@ -98,5 +98,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that give away no item, with all their columns."""
-    gone = keep(contaminated(docs, benchmark, key, text).select(F.col(key).alias("__key")).distinct(), "gone")
-    return docs.join(some(gone), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    (of_key,) = spare(docs, "key")
+    gone = keep(contaminated(docs, benchmark, key, text).select(F.col(key).alias(of_key)).distinct(), "gone")
+    return docs.join(some(gone), F.col(key).eqNullSafe(F.col(of_key)), "left_anti")

@@ -3,7 +3,8 @@
 Repetitive text compresses too well and random text too badly. How well ordinary prose compresses
 depends on its length, so the limits do too: `BANDS` holds, by size in bytes, the least and the greatest
 zstandard ratio (bytes / compressed bytes) of a document that is kept, and `CHUNK_BAND` the same for every
-chunk of `CHUNK` bytes, so that one bad stretch inside a long good text is seen as well.
+chunk of `CHUNK` bytes, so that one bad stretch inside a long good text is seen as well. The last chunk is
+the text's last `CHUNK` bytes and overlaps the one before it, so that no byte of a longer text goes unjudged.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ BANDS = (
     (65536, 1.8, 2.7),
     (float("inf"), 1.85, 2.9),
 )
-#: Chunks of fewer than half as many bytes, at a text's end, aren't judged.
 CHUNK, CHUNK_BAND = 2048, (1.5, 2.3)
 #: The windows of the base rule, and its limits.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
@@ -78,7 +78,7 @@ def ratios(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, fl
     whole = len(data) / len(compressor.compress(data))
     if len(data) <= CHUNK:
         return whole, whole, whole
-    parts = [data[k : k + CHUNK] for k in range(0, len(data) - CHUNK // 2 + 1, CHUNK)]
+    parts = [data[min(k, len(data) - CHUNK) :][:CHUNK] for k in range(0, len(data), CHUNK)]
     chunks = [len(x) / len(compressor.compress(x)) for x in parts]
     return whole, min(chunks), max(chunks)
 
@@ -125,9 +125,9 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that `quality` keeps, with all their columns. No shuffle and no join: the verdict
-    is taken in the same pass. Columns may have any name but `__judged`."""
+    is taken in the same pass. Columns may have any name."""
     names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("__judged"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("judged"))
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
     kept = rows.mapInArrow(judged, f"{fields}, {_COLUMNS}").where("kept")
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

@@ -14,10 +14,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where none is set, as in local tests, a temporary one is."""
+    """The cluster's checkpoint folder. Only a local session, as in tests, gets a temporary one if none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ferrule-"))
     return sc.getCheckpointDir()
 
 
@@ -51,12 +54,32 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def mark() -> int:
+    """A point in the list of kept tables, for `forget`."""
+    return len(_written)
+
+
+def forget(since: int) -> None:
+    """Delete the tables that were kept since then: what was made of them is written."""
+    while len(_written) > since:
+        delete(*_written.pop())
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the Python process ends."""
+    _written.insert(0, (spark, path))
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session ended first; the shared folder has its own expiry
             return

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.shared import keep
+from ferrule.llm.shared import keep, spare
 
 #: Documents of one source, size and rank bucket are ranked in one task: about so many.
 BUCKET = 4096
@@ -158,14 +158,17 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Callable
 
 
 def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Callable[[dict], dict] = cycled, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: the rows of docs, each as often as `mix` says, with its copy's number.
+    """The mix itself: the rows of docs, each as often as `mix` says, with its copy's number as the column
+    `copy` (one of that name is replaced; all other names are free).
 
     key must tell the rows apart; of rows that share it (all null ones, say) each is taken as often as
     the copies of any of them say, the most.
     """
-    copies = mix(docs, share, cap, weights, key, source, text).groupBy(F.col(key).alias("__key")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    out = docs.join(copies, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies")
+    of_key, n = spare(docs, "key", "copies")
+    copies = mix(docs, share, cap, weights, key, source, text).groupBy(F.col(key).alias(of_key)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    out = docs.join(copies, F.col(f"`{key}`").eqNullSafe(F.col(of_key)))
+    copy = F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("copy")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], copy)
 
 
 __all__ = ["cycled", "mix", "mixed", "targets", "word_count"]
