@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.text import as_text
 
-#: Signatures of a rule table; each makes a branch of the plan.
-MOST_SIGNATURES = 200
+#: Signatures of a rule table, each of which makes a branch of the plan; and rules of one signature without
+#: constants, which differ in nothing but their ids and right sides.
+MOST_SIGNATURES, MOST_ALIKE = 200, 200
 
 
 def _signatures(rules: DataFrame) -> list[tuple[tuple[tuple[str, bool], ...], str]]:
@@ -33,7 +34,7 @@ def _value_of(attribute: str) -> Column:
 def matched(table: DataFrame, rules: DataFrame, tid: str) -> DataFrame:
     """(rule_id, tid, key, rhs, rhs_value): every row that a rule's constants cover. key: the row's values
     of the wildcard attributes; rhs: its right side; rhs_value: the rule's. rules: rule_id, lhs, rhs_attr, rhs_value."""
-    parts = []
+    parts, kind_of = [], {f.name: f.dataType for f in rules.schema.fields}
     for shape, rhs in _signatures(rules):
         constants, wildcards = [a for a, c in shape if c], [a for a, c in shape if not c]
         kind = F.transform("lhs", lambda i: F.struct(i.attr.alias("attr"), i.value.isNotNull().alias("constant")))
@@ -43,8 +44,11 @@ def matched(table: DataFrame, rules: DataFrame, tid: str) -> DataFrame:
         rows = table.select(F.col(tid).alias("tid"), as_text(F.col(rhs)).alias("rhs"), F.array(*[as_text(F.col(a)) for a in wildcards]).cast("array<string>").alias("key"), *[as_text(F.col(a)).alias(f"r{k}") for k, a in enumerate(constants)])
         if constants:
             met = rows.join(mine, reduce(Column.__and__, [F.col(f"c{k}") == F.col(f"r{k}") for k in range(len(constants))]))
-        else:  # rules of wildcards alone hold all rows; those of a signature are equal but for their id
-            met = rows.withColumn("one", F.lit(1)).join(mine.withColumn("one", F.lit(1)), "one")
+        else:  # rules of wildcards alone hold all rows; those of a signature are equal but for their ids and right sides
+            ids = [F.struct(F.lit(r.rule_id).cast(kind_of["rule_id"]).alias("rule_id"), F.lit(r.rhs_value).cast(kind_of["rhs_value"]).alias("rhs_value")) for r in mine.limit(MOST_ALIKE + 1).collect()]
+            if len(ids) > MOST_ALIKE:
+                raise ValueError(f"more than {MOST_ALIKE} rules of the same wildcards; verify the rules in parts")
+            met = rows.select("*", F.explode(F.array(*ids)).alias("rule")).select("*", "rule.*")
         parts.append(met.select("rule_id", "tid", "key", "rhs", "rhs_value"))
     return reduce(DataFrame.unionByName, parts)
 
