@@ -43,3 +43,26 @@ def short_number(number: Column) -> Column:
 def canonical_items(items: Column) -> Column:
     """An attribute set or itemset in its one order, without repeats."""
     return F.array_sort(F.array_distinct(items))
+
+
+def escaped(value: Column) -> Column:
+    """The value with a backslash before what has a meaning in rule text, and before blanks at its ends. A `_`
+    has one only where it stands alone."""
+    out = F.regexp_replace(value, r"([\\,=|()\[\]]|^\s|\s$)", r"\\$1")
+    return F.when(value == "_", F.lit("\\_")).otherwise(out)
+
+
+def unescaped(text: Column) -> Column:
+    """The value that `escaped` gave the text of."""
+    return F.regexp_replace(text, r"(?s)\\(.?)", "$1")
+
+
+def stripped(text: Column) -> Column:
+    """Escaped text without the blanks around it; one with a backslash before it stays."""
+    return F.regexp_replace(text, r"(?s)^\s*((?:[^\\]|\\.)*?)\s*$", "$1")
+
+
+def escaped_parts(text: Column, separator: str = ",") -> Column:
+    """Parts of a list of escaped values, still escaped, without the blanks around them."""
+    ended = F.regexp_replace(text, rf"\G((?:[^\\{separator}]|\\.)*+){separator}", "$1\u0001")
+    return F.transform(F.split(ended, "\u0001"), stripped)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.functions.text import escaped
+
 COLUMNS = ["lhs", "rhs_attr", "rhs_value", "kind", "lhs_size", "support", "hits", "confidence"]
 
 
@@ -26,15 +28,16 @@ def precedes(general: Column, special: Column) -> Column:
 
 
 def rule_text(lhs: Column, rhs_attr: Column, rhs_value: Column) -> Column:
-    """`(A=v, B=_) => C=_`, which parses back."""
-    left = F.transform(lhs, lambda i: F.concat(i.attr, F.lit("="), F.coalesce(i.value, F.lit("_"))))
-    return F.concat(F.lit("("), F.array_join(left, ", "), F.lit(") => "), rhs_attr, F.lit("="), F.coalesce(rhs_value, F.lit("_")))
+    """`(A=v, B=_) => C=_`, which parses back, whatever the values are."""
+    value = lambda v: F.coalesce(escaped(v), F.lit("_"))
+    left = F.transform(lhs, lambda i: F.concat(escaped(i.attr), F.lit("="), value(i.value)))
+    return F.concat(F.lit("("), F.array_join(left, ", "), F.lit(") => "), escaped(rhs_attr), F.lit("="), value(rhs_value))
 
 
 def constant_rule_text(lhs: Column, rhs_attr: Column, rhs_value: Column) -> Column:
-    """`[A, B] => C, (a, b || c)`."""
-    attrs, values = (F.array_join(F.transform(lhs, f), ", ") for f in (lambda i: i.attr, lambda i: i.value))
-    return F.concat(F.lit("["), attrs, F.lit("] => "), rhs_attr, F.lit(", ("), values, F.lit(" || "), rhs_value, F.lit(")"))
+    """`[A, B] => C, (a, b || c)`, which parses back, whatever the values are."""
+    attrs, values = (F.array_join(F.transform(lhs, f), ", ") for f in (lambda i: escaped(i.attr), lambda i: escaped(i.value)))
+    return F.concat(F.lit("["), attrs, F.lit("] => "), escaped(rhs_attr), F.lit(", ("), values, F.lit(" || "), escaped(rhs_value), F.lit(")"))
 
 
 def canonical(lhs: Column) -> Column:

@@ -7,30 +7,32 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import trimmed_list
+from ferrule.functions.text import escaped_parts, stripped, trimmed_list, unescaped
 from ferrule.operators.rules import constant_rule_text, rule_text
 
-_GENERAL, _CONSTANT = r"^\((.*)\) => (.*?)=(.*)$", r"^\[(.*?)\] => (.*?), \((.*?)\|\|(.*?)\)$"
+#: A run of text without a character, but for those with a backslash before them.
+_UP_TO = r"(?:[^\\{0}]|\\.)*".format
+_GENERAL = rf"^\((.*)\) => ({_UP_TO('=')})=(.*)$"
+_CONSTANT = rf"^\[(.*)\] => ({_UP_TO(',')}), \(({_UP_TO('|')})\|\|(.*)\)$"
+_ITEM = rf"^({_UP_TO('=')})=(.*)$"
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     """(rule_id, lhs, rhs_attr, rhs_value) of lines `(A=v, B=_) => C=w`; other lines are passed over.
-    rule_id is the line."""
-    line = F.trim(F.col(column))
-    rows = lines.select(line.alias("rule_id")).where(line.rlike(_GENERAL))
-    parts = F.filter(trimmed_list(F.regexp_extract("rule_id", _GENERAL, 1)), lambda p: p != "")
-    value = lambda v: F.when(v != "_", v)
-    item = F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("attr"), value(F.regexp_replace(p, "^[^=]*=", "")).alias("value")))
-    return rows.select("rule_id", F.array_sort(item).alias("lhs"), F.regexp_extract("rule_id", _GENERAL, 2).alias("rhs_attr"), value(F.regexp_extract("rule_id", _GENERAL, 3)).alias("rhs_value"))
+    rule_id is the line. A backslash takes the meaning of the character after it."""
+    rows = lines.select(stripped(F.col(column)).alias("rule_id")).where(F.col("rule_id").rlike(_GENERAL))
+    parts = F.filter(escaped_parts(F.regexp_extract("rule_id", _GENERAL, 1)), lambda p: p != "")
+    value = lambda v: F.when(v != "_", unescaped(v))
+    item = F.transform(parts, lambda p: F.struct(unescaped(F.regexp_extract(p, _ITEM, 1)).alias("attr"), value(F.regexp_extract(p, _ITEM, 2)).alias("value")))
+    return rows.select("rule_id", F.array_sort(item).alias("lhs"), unescaped(F.regexp_extract("rule_id", _GENERAL, 2)).alias("rhs_attr"), value(F.regexp_extract("rule_id", _GENERAL, 3)).alias("rhs_value"))
 
 
 def parsed_constant(lines: DataFrame, column: str = "value") -> DataFrame:
     """The same of lines `[A, B] => C, (a, b || c)`."""
-    line = F.trim(F.col(column))
-    rows = lines.select(line.alias("rule_id")).where(line.rlike(_CONSTANT))
+    rows = lines.select(stripped(F.col(column)).alias("rule_id")).where(F.col("rule_id").rlike(_CONSTANT))
     get = lambda k: F.regexp_extract("rule_id", _CONSTANT, k)
-    lhs = F.zip_with(trimmed_list(get(1)), trimmed_list(get(3)), lambda a, v: F.struct(a.alias("attr"), v.alias("value")))
-    return rows.select("rule_id", F.array_sort(lhs).alias("lhs"), F.trim(get(2)).alias("rhs_attr"), F.trim(get(4)).alias("rhs_value"))
+    lhs = F.zip_with(escaped_parts(get(1)), escaped_parts(get(3)), lambda a, v: F.struct(unescaped(a).alias("attr"), unescaped(v).alias("value")))
+    return rows.select("rule_id", F.array_sort(lhs).alias("lhs"), unescaped(stripped(get(2))).alias("rhs_attr"), unescaped(stripped(get(4))).alias("rhs_value"))
 
 
 def read_rules(spark: SparkSession, path: str, constant: bool = False) -> DataFrame:

@@ -19,6 +19,22 @@ def test_rules_round_trip(spark, tmp_path):
     assert [tuple(i) for i in row.lhs] == [("a", "1"), ("b", "2")] and (row.rhs_attr, row.rhs_value) == ("c", "3")
 
 
+ODD = ["x, y", "_", "a=b", "(c) => d", " ends ", "back\\", "\\_", "||", "[e], (f || g)", "", "plain", "\\ ", "a_b"]
+
+
+def test_any_value_parses_back(spark):
+    kind = "lhs array<struct<attr:string,value:string>>, rhs_attr string, rhs_value string"
+    rows = [([("p", v), ("q=, r", None)], "s_t", w) for v in ODD for w in [*ODD, None]]
+    df = spark.createDataFrame(rows, kind)
+    text = rule_files.rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value"))
+    again = rule_files.parsed(df.select(text.alias("value"))).collect()
+    assert sorted(map(str, (([tuple(i) for i in r.lhs], r.rhs_attr, r.rhs_value) for r in again))) == sorted(map(str, rows))
+    rows = [([("p", v), ("q=, r", w)], "s_t", w) for v in ODD for w in ODD]
+    text = rule_files.constant_rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value"))
+    again = rule_files.parsed_constant(spark.createDataFrame(rows, kind).select(text.alias("value"))).collect()
+    assert sorted(map(str, (([tuple(i) for i in r.lhs], r.rhs_attr, r.rhs_value) for r in again))) == sorted(map(str, rows))
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     (tmp_path / "t.csv").write_text("a,b,c\n1,,x\n2,y,z\n3,y\n")
