@@ -534,12 +534,15 @@ def k_means_clusters(spark, folder):
     return clustering.k_means_from(rows, centres, 3).select("id", "cluster")
 
 
+DBSCAN_RADIUS, DBSCAN_LEAST = 1.13, 3
+
+
 @query
 def dbscan_clusters(spark, folder):
-    return clustering.dbscan(vectors(spark, folder).select("id", "vector"), 0.9, 4)
+    return clustering.dbscan(vectors(spark, folder).select("id", "vector"), DBSCAN_RADIUS, DBSCAN_LEAST)
 
 
 @query
 def vector_communities(spark, folder):
-    found = clustering.communities(vectors(spark, folder).select("id", "vector"), 0.5, 3)
+    found = clustering.communities(vectors(spark, folder).select("id", "vector"), 0.3, 5)
     return spark.createDataFrame([(k, i) for k, g in enumerate(found) for i in g], "community int, id long")

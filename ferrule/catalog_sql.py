@@ -280,4 +280,14 @@ SELECT *, (forward + backward) / 2 AS accuracy FROM (SELECT avg(CAST(c = q + 1 A
     "label_accuracy": "SELECT avg(CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label AS INTEGER)) AS accuracy FROM embeddings",
     "vector_mse": f"WITH {_PAIRS} SELECT round(100 * sum(list_sum(list_transform(list_zip(u, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) / sum(len(u)), 6) AS mse FROM pairs",
     "cluster_means": "WITH e AS (SELECT label AS cluster, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS k FROM embeddings) SELECT cluster, CAST(k AS INTEGER) AS \"at\", round(avg(x), 6) AS x FROM e GROUP BY 1, 2",
+    # components of core points by walking all edges; border points take the smallest cluster near them
+    "dbscan_clusters": """
+WITH RECURSIVE points AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON a.id <> b.id AND list_distance(a.v, b.v) <= 1.13),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) + 1 >= 3),
+inner_edges AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(id, other) AS (SELECT id, id FROM core UNION SELECT r.id, e.b FROM reach r JOIN inner_edges e ON r.other = e.a),
+parts AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id),
+border AS (SELECT n.b AS id, min(p.cluster) AS cluster FROM near n JOIN parts p ON n.a = p.id WHERE n.b NOT IN (SELECT id FROM core) GROUP BY n.b)
+SELECT id, cluster FROM points LEFT JOIN (SELECT * FROM parts UNION ALL SELECT * FROM border) USING (id)""",
 }
