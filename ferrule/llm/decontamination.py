@@ -9,8 +9,10 @@ when the consistent alignments cover `COVERED` of the item's windows.
 
 - A number is a word that begins with a digit; a unit a word of `UNITS` after a number; a name a word of
   a capital and small letters that follows one space after a letter, a digit, a comma or a semicolon.
-- Windows with fewer than `LITERAL` words that aren't slots say too little and aren't used; so an item
-  of fewer than `WINDOW` words is never matched.
+- Windows with fewer than `LITERAL` words that aren't slots say too little and aren't used, unless an item has
+  no others: then those with one such word are. An item of `SHORT` to `WINDOW` - 1 words has one window, the
+  whole item, if it has a word that isn't a slot; its length's windows are taken of documents only where the
+  benchmark has such items. Items of fewer words are never matched.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.shared import keep, spare
 
-WINDOW, LITERAL, COVERED = 8, 4, 0.3
+WINDOW, LITERAL, SHORT, COVERED = 8, 4, 4, 0.3
 #: Rows (24 bytes each) of benchmark windows up to which they are broadcast; beyond, both sides are
 #: shuffled. The same holds for the keys of the documents that have matches.
 BROADCAST_ROWS = 1_000_000
@@ -46,10 +48,10 @@ def template(slots: Column) -> Column:
     return F.transform(slots, lambda w: F.when(F.array_contains(mark, F.substring(w, 1, 1)), F.substring(w, 1, 1)).otherwise(w))
 
 
-def window_hashes(words: Column) -> Column:
-    """A hash for each run of WINDOW words; an empty array if there are fewer."""
-    last = F.size(words) - WINDOW + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.xxhash64(F.slice(words, k, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+def window_hashes(words: Column, n: int = WINDOW) -> Column:
+    """A hash for each run of n words; an empty array if there are fewer."""
+    last = F.size(words) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.xxhash64(F.slice(words, k, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def some(keys: DataFrame) -> DataFrame:
@@ -67,21 +69,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """
     items = benchmark.select(F.col(item).alias("item_id"), slotted(F.col(item_text).cast("string")).alias("item_slots")).dropDuplicates()
     items = items.withColumn("item_words", template(F.col("item_slots"))).withColumn("version", F.xxhash64("item_slots"))
-    grams = items.select("item_id", "version", "item_words", F.posexplode(window_hashes(F.col("item_words"))).alias("item_at", "hash"))
-    literal = F.size(F.filter(F.slice("item_words", F.col("item_at") + 1, F.lit(WINDOW)), lambda w: w > _UNIT))
-    grams = keep(grams.where(literal >= LITERAL).select("item_id", "version", "item_at", "hash"), "grams")
+    words = F.col("item_words")
+    short = (F.size(words) >= SHORT) & (F.size(words) < WINDOW)
+    hashes = F.when(short, F.array(F.xxhash64(words))).otherwise(window_hashes(words))
+    grams = items.select("item_id", "version", "item_words", F.when(short, F.size(words)).otherwise(WINDOW).alias("width"), F.posexplode(hashes).alias("item_at", "hash"))
+    literal = F.size(F.filter(F.slice("item_words", F.col("item_at") + 1, F.col("width")), lambda w: w > _UNIT))
+    most = grams.withColumn("literal", literal).groupBy("item_id", "version").agg(F.max("literal").alias("most"))
+    grams = grams.withColumn("literal", literal).join(most, ["item_id", "version"])
+    grams = grams.where(F.col("literal") >= F.when(F.col("most") >= LITERAL, LITERAL).otherwise(1))
+    grams = keep(grams.select("item_id", "version", "item_at", "hash", "width"), "grams")
+    widths = sorted({r.width for r in grams.where(F.col("width") < WINDOW).select("width").distinct().collect()})
     totals = grams.groupBy("item_id", "version").agg(F.count("*").alias("n_windows"))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    windows = rows.select("key", template(slotted(F.col("text"))).alias("words")).select("key", F.posexplode(window_hashes(F.col("words"))).alias("at", "hash"))
-    found = windows.join(some(grams), "hash").select("key", "item_id", "version", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
+    found = rows.select("key", template(slotted(F.col("text"))).alias("words"))
+    windows = found.select("key", F.posexplode(window_hashes(F.col("words"))).alias("at", "hash")).withColumn("width", F.lit(WINDOW))
+    for n in widths:  # WINDOW - SHORT of them at most
+        windows = windows.unionByName(found.select("key", F.posexplode(window_hashes(F.col("words"), n)).alias("at", "hash")).withColumn("width", F.lit(n)))
+    found = windows.join(some(grams), ["hash", "width"]).select("width", "key", "item_id", "version", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
     # one row for each alignment: its item windows as a count and the stretch that they span
-    along = found.groupBy("key", "item_id", "version", "shift").agg(F.collect_set("item_at").alias("held"))
+    along = found.groupBy("key", "item_id", "version", "shift", "width").agg(F.collect_set("item_at").alias("held"))
     along = keep(along, "along")
 
     wanted = along.select(F.col("key").alias("of")).distinct()
     again = rows.join(some(wanted), F.col("key").eqNullSafe(F.col("of")), "left_semi").select("key", slotted(F.col("text")).alias("slots"))
-    ends = along.withColumn("low", F.array_min("held")).withColumn("size", F.array_max("held") - F.array_min("held") + WINDOW)
+    ends = along.withColumn("low", F.array_min("held")).withColumn("size", F.array_max("held") - F.array_min("held") + F.col("width"))
     ends = ends.withColumnRenamed("key", "of")
     at = again.join(ends, F.col("key").eqNullSafe(F.col("of"))).drop("of").join(items.select("item_id", "version", "item_slots"), ["item_id", "version"])
     at = at.withColumn("ours", F.slice("slots", F.col("low") + F.col("shift") + 1, F.col("size"))).withColumn("theirs", F.slice("item_slots", F.col("low") + 1, F.col("size")))
