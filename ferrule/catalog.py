@@ -157,7 +157,7 @@ def minimal_parts(spark, folder):
 @query
 def free_sets(spark, folder):
     rows = geo(spark, folder)
-    return mining.free_left_sides(None, rows, GEO, 3).select(F.array_join("attrs", ",").alias("attrs"), "n_classes")
+    return mining.free_left_sides(rows, GEO, 3).select(F.array_join("attrs", ",").alias("attrs"), "n_classes")
 
 
 @query

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.operators.rules import COLUMNS, items, precedes
-from ferrule.plans.lattice import candidates, classes, compressed, patterns, unfolded
+from ferrule.operators.rules import COLUMNS, items
+from ferrule.plans.lattice import candidates, classes, compressed, inexact, named, next_level, number, patterns, unfolded, unfolded_sets
 
 #: Names of search strategies, accepted and equivalent here.
 STRATEGIES = ("Integrated-BFS", "Integrated-DFS", "Itemset-First-BFS-bfs", "Itemset-First-BFS-dfs", "Itemset-First-DFS-bfs", "Itemset-First-DFS-dfs", "FD-First-BFS-bfs", "FD-First-BFS-dfs", "FD-First-DFS-bfs", "FD-First-DFS-dfs")
@@ -31,66 +32,95 @@ def _finished(rules: DataFrame, kind: str) -> DataFrame:
 def fd_measures(table: DataFrame, attributes: Sequence[str], largest: int) -> DataFrame:
     """(lhs, rhs, n_classes, support, hits, error, confidence) of every plain dependency; error: g3 rows."""
     counts = compressed(table, attributes)
-    plain = classes(unfolded(counts, candidates(attributes, largest))).groupBy("lhs", "rhs")
-    out = plain.agg(F.count("*").alias("n_classes"), F.sum("n").alias("support"), F.sum("most").alias("hits"))
+    plain = classes(unfolded(counts, candidates(attributes, largest))).groupBy("candidate")
+    out = named(plain.agg(F.count("*").alias("n_classes"), F.sum("n").alias("support"), F.sum("most").alias("hits")), attributes)
     return out.withColumn("error", F.col("support") - F.col("hits")).withColumn("confidence", F.col("hits") / F.col("support"))
 
 
+def _variable(values: DataFrame, attributes: Sequence[str], least_support: int, least_confidence: float) -> DataFrame:
+    found = patterns(classes(values))
+    found = found.where((F.col("support") >= least_support) & (F.col("low") != F.col("high")) & (F.col("hits") >= least_confidence * F.col("support")))
+    return _finished(named(found, attributes).select(items(F.col("lhs"), F.col("pattern")).alias("lhs"), "rhs", F.lit(None).cast("string").alias("rhs_value"), "support", "hits"), "variable")
+
+
+def _constant(values: DataFrame, attributes: Sequence[str], least_support: int, least_confidence: float) -> DataFrame:
+    totals = classes(values).where(F.col("n") >= least_support).select("candidate", "x", F.col("n").alias("support"))
+    found = values.join(totals, ["candidate", "x"]).where(F.col("n") >= least_confidence * F.col("support"))
+    return _finished(named(found, attributes).select(items(F.col("lhs"), F.col("x")).alias("lhs"), "rhs", F.col("a").alias("rhs_value"), "support", F.col("n").alias("hits")), "constant")
+
+
 def variable_rules(table: DataFrame, attributes: Sequence[str], largest: int, least_support: int, least_confidence: float = 0.0) -> DataFrame:
     """All rules with a wildcard on the right, minimal or not."""
-    found = patterns(classes(unfolded(compressed(table, attributes), candidates(attributes, largest))), largest)
-    found = found.where((F.col("support") >= least_support) & (F.col("low") != F.col("high")) & (F.col("hits") >= least_confidence * F.col("support")))
-    return _finished(found.select(items(F.col("lhs"), F.col("pattern")).alias("lhs"), "rhs", F.lit(None).cast("string").alias("rhs_value"), "support", "hits"), "variable")
+    return _variable(unfolded(compressed(table, attributes), candidates(attributes, largest)), attributes, least_support, least_confidence)
 
 
 def constant_rules(table: DataFrame, attributes: Sequence[str], largest: int, least_support: int, least_confidence: float = 1.0) -> DataFrame:
     """All rules of constants, minimal or not."""
-    values = unfolded(compressed(table, attributes), candidates(attributes, largest))
-    totals = classes(values).where(F.col("n") >= least_support).select("lhs", "rhs", "x", F.col("n").alias("support"))
-    found = values.join(totals, ["lhs", "rhs", "x"]).where(F.col("n") >= least_confidence * F.col("support"))
-    return _finished(found.select(items(F.col("lhs"), F.col("x")).alias("lhs"), "rhs", F.col("a").alias("rhs_value"), "support", F.col("n").alias("hits")), "constant")
+    return _constant(unfolded(compressed(table, attributes), candidates(attributes, largest)), attributes, least_support, least_confidence)
 
 
 def minimal(rules: DataFrame) -> DataFrame:
-    """Rules without those that an exact, strictly more general one with the same right side implies."""
-    exact = rules.where("hits = support").select(*[F.col(c).alias(f"e_{c}") for c in ("lhs", "rhs_attr", "rhs_value", "lhs_size")])
-    same = (F.col("e_rhs_attr") == F.col("rhs_attr")) & F.col("e_rhs_value").eqNullSafe(F.col("rhs_value"))
-    return rules.join(exact, same & (F.col("e_lhs_size") <= F.col("lhs_size")) & precedes(F.col("e_lhs"), F.col("lhs")), "left_anti").select(*COLUMNS)
-
-
-def free_left_sides(measures: DataFrame, table: DataFrame, attributes: Sequence[str], largest: int) -> DataFrame:
+    """Rules without those that an exact, strictly more general one with the same right side implies.
+
+    rules must hold, with each exact one, the rules between it and those it implies, as all that is mined does:
+    what specialises an exact rule is exact. So it's enough to look for exact rules one step away, with one
+    constant made a wildcard, or one wildcard (of constant rules, one constant) left out: a join by equality."""
+    exact = rules.where("hits = support").select(F.col("lhs").alias("e_lhs"), F.col("rhs_attr").alias("e_rhs_attr"), F.col("rhs_value").alias("e_rhs_value"))
+    wider = F.transform("lhs", lambda i, k: F.transform("lhs", lambda j, m: F.when((k == m) & (F.col("kind") == "variable"), F.struct(j.attr.alias("attr"), F.lit(None).cast("string").alias("value"))).otherwise(F.struct(j.attr.alias("attr"), j.value.alias("value")))))
+    shorter = F.transform(F.filter("lhs", lambda i: (F.col("kind") == "constant") | i.value.isNull()), lambda i: F.filter("lhs", lambda j: j.attr != i.attr))
+    steps = F.array_distinct(F.concat(wider, shorter))
+    near = rules.select("lhs", "rhs_attr", "rhs_value", F.explode(steps).alias("step")).where(F.col("step") != F.col("lhs"))
+    met = (F.col("e_rhs_attr") == F.col("rhs_attr")) & F.col("e_rhs_value").eqNullSafe(F.col("rhs_value")) & (F.col("e_lhs") == F.col("step"))
+    implied = near.join(exact, met, "left_semi").select(F.col("lhs").alias("i_lhs"), F.col("rhs_attr").alias("i_rhs_attr"), F.col("rhs_value").alias("i_rhs_value"))
+    same = (F.col("i_rhs_attr") == F.col("rhs_attr")) & F.col("i_rhs_value").eqNullSafe(F.col("rhs_value")) & (F.col("i_lhs") == F.col("lhs"))
+    return rules.join(implied, same, "left_anti").select(*COLUMNS)
+
+
+def free_left_sides(table: DataFrame, attributes: Sequence[str], largest: int) -> DataFrame:
     """Attribute sets (attrs, n_classes) that have more classes than each of their subsets."""
-    counts = compressed(table, attributes)
-    sizes = class_counts(counts, attributes, largest)
+    sizes = class_counts(compressed(table, attributes), attributes, largest)
     smaller = sizes.select(F.col("attrs").alias("sub"), F.col("n_classes").alias("sub_classes"))
-    inside = (F.size("sub") == F.size("attrs") - 1) & (F.size(F.array_except("sub", "attrs")) == 0)
-    return sizes.join(smaller, (F.col("n_classes") == F.col("sub_classes")) & inside, "left_anti")
+    subs = sizes.select("attrs", "n_classes", F.explode("attrs").alias("left")).select("attrs", "n_classes", F.array_remove("attrs", F.col("left")).alias("sub"))
+    tied = subs.join(smaller, "sub").where("n_classes = sub_classes").select("attrs").distinct()
+    return sizes.join(tied, "attrs", "left_anti")
 
 
 def class_counts(counts: DataFrame, attributes: Sequence[str], largest: int) -> DataFrame:
     """(attrs, n_classes) of every attribute set: the size of its partition."""
-    from itertools import combinations
-
     sets = [x for k in range(1, largest + 1) for x in combinations(sorted(attributes), k)]
-    each = [F.struct(F.array(*[F.lit(c) for c in x]).alias("attrs"), F.array(*[F.col(c) for c in x]).alias("x")) for x in sets]
-    values = counts.select(F.explode(F.array(*each)).alias("k")).select("k.*").distinct()
-    return values.groupBy("attrs").agg(F.count("*").alias("n_classes"))
+    return unfolded_sets(counts, sets).groupBy("attrs").agg(F.count("*").alias("n_classes"))
 
 
-def mine(table: DataFrame, attributes: Sequence[str], least_support: int, least_confidence: float = 1.0, largest: int = 2, strategy: str = "FD-First-DFS-dfs") -> DataFrame:
-    """Minimal rules of both kinds. strategy must be one of STRATEGIES and makes no difference."""
+def mine(table: DataFrame, attributes: Sequence[str], least_support: int, least_confidence: float = 1.0, largest: int = 2, strategy: str = "FD-First-DFS-dfs", only_free: bool = False) -> DataFrame:
+    """Minimal rules of both kinds. strategy must be one of STRATEGIES and makes no difference.
+
+    Level by level: a left side that determines an attribute on all rows is not grown for it, since every rule
+    of a larger one is implied. Each level but the last is one job, which returns the candidates still open: their
+    number is bounded by the attributes, not by rows. only_free: only left sides in which no attribute follows
+    from the others."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
+    counts = compressed(table, attributes)
+    ordered = sorted(attributes)
+    level, searched = candidates(attributes, 1), []
+    for size in range(1, largest + 1):
+        searched += level
+        if size == largest or not level:
+            break
+        alive = {r.candidate for r in inexact(unfolded(counts, level)).collect()}
+        level = next_level(c for c in level if number(c, ordered) in alive)
+    values = unfolded(counts, searched)
     # what blocks a rule is exact, so it's among the rules whatever the least confidence
-    kinds = [f(table, attributes, largest, least_support, least_confidence) for f in (variable_rules, constant_rules)]
-    return reduce(DataFrame.unionByName, [minimal(k) for k in kinds])
+    rules = reduce(DataFrame.unionByName, [minimal(k(values, attributes, least_support, least_confidence)) for k in (_variable, _constant)])
+    if not only_free:
+        return rules
+    free = free_left_sides(table, attributes, largest).select(F.col("attrs").alias("free"))
+    return rules.join(free, F.transform("lhs", lambda i: i.attr) == F.col("free"), "left_semi")
 
 
 def generators(table: DataFrame, attributes: Sequence[str], largest: int, least_support: int) -> DataFrame:
     """(gen, support, closure): the minimal itemsets of their support, as arrays of `attr=value`, with all
     items that are in each of their rows. Itemsets have 1 to largest items."""
-    from itertools import combinations
-
     counts = compressed(table, attributes)
     item = {a: F.concat(F.lit(f"{a}="), F.col(a)) for a in sorted(attributes)}
     sets = [x for k in range(1, largest + 1) for x in combinations(sorted(attributes), k)]
