@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.catalog_sql import GEO, ORACLE_SQL, ORDER_GEO, PARTS, RULE_TEXTS, SETS, TRUTH_SETS
+from ferrule.catalog_sql import GEO, ORACLE_SQL, ORDER_GEO, PARTS, RULE_TEXTS, SETS, TRUTH_SETS, WIDE
 from ferrule.functions.text import row_sentence, short_number, weighted_sentence
-from ferrule.functions.vectors import cosine, dot, euclidean, gaussian_kernel, manhattan, normalised
+from ferrule.functions.vectors import POOLINGS, chunk_average, cosine, dot, euclidean, gaussian_kernel, manhattan, normalised, pooled
 from ferrule.operators import clustering, comparison, correlation, evaluation, mining, profiling, retrieval, sampling, verification
 from ferrule.operators.rules import COLUMNS, constant_rule_text, presented, rule_text
 from ferrule.plans import jobs
@@ -154,6 +154,23 @@ def minimal_parts(spark, folder):
     return presented(mining.mine(parts(spark, folder), PARTS, 5, 0.6, 2, "Itemset-First-BFS-dfs"))
 
 
+def wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with all columns of their nation and region but comments; many of these follow from others."""
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("c_custkey").alias("tid"), *WIDE)
+
+
+@query
+def mine_wide(spark, folder):
+    return presented(mining.mine(wide(spark, folder), WIDE, 20, 0.9, 3))
+
+
+@query
+def free_lhs_rules(spark, folder):
+    return presented(mining.mine(wide(spark, folder), WIDE, 20, 0.3, 2, only_free=True))
+
+
 @query
 def free_sets(spark, folder):
     rows = geo(spark, folder)
@@ -546,3 +563,89 @@ def dbscan_clusters(spark, folder):
 def vector_communities(spark, folder):
     found = clustering.communities(vectors(spark, folder).select("id", "vector"), 0.3, 5)
     return spark.createDataFrame([(k, i) for k, g in enumerate(found) for i in g], "community int, id long")
+
+
+@query
+def dbscan_k_means(spark, folder):
+    """Means of density clusters, over all rows as the sample, as seeds of two of Lloyd's rounds over all rows."""
+    rows = vectors(spark, folder).select("id", "vector")
+    return clustering.density_seeded_k_means(rows, rows, DBSCAN_RADIUS, DBSCAN_LEAST, 2).select("id", "cluster")
+
+
+@query
+def community_centres(spark, folder):
+    return clustering.centres(vectors(spark, folder).select("id", "vector"), 0.3, 5)
+
+
+@query
+def cluster_groups(spark, folder):
+    out = clustering.groups(vectors(spark, folder).select("id", F.col("label").alias("cluster")))
+    return out.select("cluster", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query
+def pooled_vectors(spark, folder):
+    """A label's vectors of ids 0 to 99 of each hundred as tokens; every third one is masked out."""
+    rows = vectors(spark, folder).withColumn("text", F.floor(F.col("id") / 100).cast("long"))
+    texts_ = rows.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("all"))
+    tokens, mask = F.transform("all", lambda t: t.vector), F.transform("all", lambda t: (t.id % 3 != 2).cast("int"))
+    made = [F.transform(pooled(tokens, mask, how), lambda x: F.round(x, 6)).alias(how) for how in POOLINGS]
+    made.append(F.transform(chunk_average(tokens), lambda x: F.round(x, 6)).alias("chunks"))
+    return texts_.select("text", *made).select("text", F.posexplode(F.arrays_zip(*POOLINGS, "chunks")).alias("at", "v")).select("text", "at", "v.*")
+
+
+def mined_and_known(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The hundred best pairs, and rows next to each other of one label as duplicates."""
+    pairs = retrieval.mined_pairs(vectors(spark, folder), 10, 100).withColumn("score", F.round("score", 6))
+    after = vector_pairs(spark, folder).where("label = other_label")
+    return pairs, after.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+
+
+@query
+def paraphrase_metrics(spark, folder):
+    out = evaluation.paraphrase_measures(*mined_and_known(spark, folder))
+    return out.select("pairs", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+@query
+def paraphrase_metrics_closed(spark, folder):
+    pairs, _ = mined_and_known(spark, folder)
+    known = pairs.where("(a + b) % 3 = 0").select("a", "b")
+    out = evaluation.paraphrase_measures(pairs, known, transitive=True)
+    return out.select("pairs", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+# columns and rows
+
+
+@query
+def column_sentences(spark, folder):
+    return profiling.column_sentences(geo(spark, folder), GEO, "tid")
+
+
+@query
+def column_tokens(spark, folder):
+    return profiling.column_tokens(parts(spark, folder), PARTS, "tid")
+
+
+@query
+def value_codes(spark, folder):
+    return profiling.domain(parts(spark, folder), PARTS)
+
+
+@query
+def row_differences(spark, folder):
+    """Orders, and orders of which some are gone and others have another priority."""
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    other = rows.where("o_orderkey % 11 <> 0").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")))
+    return comparison.row_differences(rows, other, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query
+def set_distances(spark, folder):
+    return comparison.distance_sums(sets(spark, SETS), sorted({a for s in SETS for a in s})).select(F.array_join("attrs", ",").alias("attrs"), F.col("total").cast("long").alias("total"))
+
+
+@query
+def cross_information(spark, folder):
+    return sets(spark, correlation.grown_sets(SETS, TRUTH_SETS, 2)).select(F.array_join("attrs", ",").alias("attrs"))

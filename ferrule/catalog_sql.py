@@ -7,6 +7,7 @@ from itertools import combinations
 GEO = ["n_name", "n_regionkey", "r_name", "c_mktsegment"]
 ORDER_GEO = ["o_orderstatus", "o_orderpriority", "c_mktsegment", "r_name"]
 PARTS = ["p_brand", "p_type", "p_size", "p_name"]
+WIDE = ["n_name", "n_nationkey", "r_name", "n_regionkey", "c_mktsegment", "c_nationkey"]
 
 SETS = (("b", "a"), ("a", "b", "c"), ("d",), ("e", "d"), ("d", "e", "d"), ("c", "f"), ("f", "g", "h", "c"))
 TRUTH_SETS = (("a", "c"), ("a", "d"), ("g", "h"), ("h", "a", "g"), ("e",))
@@ -291,3 +292,59 @@ parts AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id),
 border AS (SELECT n.b AS id, min(p.cluster) AS cluster FROM near n JOIN parts p ON n.a = p.id WHERE n.b NOT IN (SELECT id FROM core) GROUP BY n.b)
 SELECT id, cluster FROM points LEFT JOIN (SELECT * FROM parts UNION ALL SELECT * FROM border) USING (id)""",
 }
+
+
+_WIDE = f"wide AS (SELECT {', '.join(WIDE)} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_WIDE_SETS = _all([f"SELECT {[*x]} AS attrs, count(*) AS n_classes FROM (SELECT DISTINCT {', '.join(x)} FROM wide) v" for k in (1, 2) for x in combinations(sorted(WIDE), k)])
+_WIDE_LEFT = ", ".join(f"CASE WHEN p_{a} IS NOT NULL THEN '{a}' END" for a in sorted(WIDE))
+ORACLE_SQL["mine_wide"] = f"WITH {_WIDE}, {_mined('wide', WIDE, 3, 20, 0.9)} {_shown('mined', WIDE)}"
+ORACLE_SQL["free_lhs_rules"] = f"""WITH {_WIDE}, {_mined('wide', WIDE, 2, 20, 0.3)}, sets AS ({_WIDE_SETS}),
+tied AS (SELECT s.attrs FROM sets s JOIN sets t ON t.n_classes = s.n_classes AND len(t.attrs) = len(s.attrs) - 1 AND list_has_all(s.attrs, t.attrs))
+{_shown('mined', WIDE)} WHERE list_filter([{_WIDE_LEFT}], lambda x: x IS NOT NULL) NOT IN (SELECT attrs FROM tied)"""
+
+_DBSCAN = ORACLE_SQL["dbscan_clusters"][: ORACLE_SQL["dbscan_clusters"].rindex("SELECT id, cluster FROM points")]
+
+
+def _lloyd(k: int) -> str:
+    mean = f"m{k} AS (SELECT cluster, list(x ORDER BY place) AS c FROM (SELECT cluster, place, avg(x) AS x FROM a{k} JOIN each USING (id) GROUP BY 1, 2) y GROUP BY 1)"
+    return f"{mean}, a{k + 1} AS (SELECT id, cluster FROM (SELECT p.id, m.cluster, list_distance(p.v, m.c) AS d FROM points p, m{k} m) z QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1)"
+
+
+ORACLE_SQL["dbscan_k_means"] = f"""{_DBSCAN}, each AS (SELECT id, unnest(v) AS x, unnest(range(0, len(v))) AS place FROM points),
+labelled AS (SELECT id, coalesce(cluster, -1) AS cluster FROM points LEFT JOIN (SELECT * FROM parts UNION ALL SELECT * FROM border) b USING (id)),
+a0 AS (SELECT id, CAST(dense_rank() OVER (ORDER BY cluster) - 1 AS INTEGER) AS cluster FROM labelled), {_lloyd(0)}, {_lloyd(1)}, {_lloyd(2)}
+SELECT id, cluster FROM a3"""
+ORACLE_SQL["cluster_groups"] = "SELECT label AS cluster, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY label"
+ORACLE_SQL["pooled_vectors"] = """WITH e AS (SELECT vec_id // 100 AS text, vec_id AS id, CAST(vec_id % 3 <> 2 AS INTEGER) AS m, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+stops AS (SELECT text, coalesce(min(k) FILTER (m = 0), 1) AS z FROM e GROUP BY text),
+x AS (SELECT text, id, m, k, greatest(z - 1, 1) AS stop, unnest(v) AS x, unnest(range(0, len(v))) AS place FROM e JOIN stops USING (text)),
+p AS (SELECT text, place, arg_min(x, k) AS f, max(CASE WHEN m = 0 THEN -1e9 ELSE x END) AS mx, sum(x * m) AS s, sum(m) AS n, sum(x * m * k) AS ws, sum(m * k) AS wn, max(x * m) FILTER (k = stop) AS l, avg(x) AS a FROM x GROUP BY text, place)
+SELECT text, CAST(place AS INTEGER) AS "at", round(f, 6) + 0 AS first, round(mx, 6) + 0 AS max, round(s / greatest(n, 1e-9), 6) + 0 AS mean, round(s / sqrt(greatest(n, 1e-9)), 6) + 0 AS mean_sqrt_length, round(ws / greatest(wn, 1e-9), 6) + 0 AS weighted_mean, round(l, 6) + 0 AS last, round(a / sqrt(sum(a * a) OVER (PARTITION BY text)), 6) + 0 AS chunks FROM p"""
+
+_CUT = """cut AS (SELECT score, n, rgt, hit, total, coalesce(lead(score) OVER w, score) AS nxt FROM (SELECT *, row_number() OVER w AS n, sum(hit) OVER (w ROWS UNBOUNDED PRECEDING) AS rgt FROM judged WINDOW w AS (ORDER BY score DESC, a, b)) j, total WINDOW w AS (ORDER BY n)),
+best AS (SELECT 2 * rgt / (n + total) AS f1, rgt / n AS precision, rgt / total AS recall, (score + nxt) / 2 AS threshold FROM cut WHERE hit = 1 ORDER BY f1 DESC, n LIMIT 1)
+SELECT pairs, round(coalesce(ap, 0), 9) AS average_precision, round(coalesce(f1, 0), 9) AS f1, round(coalesce(precision, 0), 9) AS precision, round(coalesce(recall, 0), 9) AS recall, round(coalesce(threshold, 0), 9) AS threshold
+FROM (SELECT count(*) AS pairs, sum(rgt / n) FILTER (hit = 1) / max(total) AS ap FROM cut) q LEFT JOIN best ON true"""
+ORACLE_SQL["paraphrase_metrics"] = f"""WITH pairs AS ({ORACLE_SQL["pair_mining"]}), known AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.label = b.label),
+total AS (SELECT count(*) AS total FROM known), judged AS (SELECT a, b, score, CAST((a, b) IN (SELECT (a, b) FROM known) AS INTEGER) AS hit FROM pairs), {_CUT}"""
+ORACLE_SQL["paraphrase_metrics_closed"] = f"""WITH RECURSIVE pairs AS MATERIALIZED ({ORACLE_SQL["pair_mining"]}), known AS (SELECT a, b FROM pairs WHERE (a + b) % 3 = 0 UNION SELECT b, a FROM pairs WHERE (a + b) % 3 = 0),
+reach(id, other) AS (SELECT a, a FROM known UNION SELECT r.id, k.b FROM reach r JOIN known k ON r.other = k.a), joined AS (SELECT DISTINCT id, other FROM reach WHERE id < other),
+total AS (SELECT count(*) AS total FROM joined), judged AS (SELECT a, b, score, CAST((a, b) IN (SELECT (id, other) FROM joined) AS INTEGER) AS hit FROM pairs), {_CUT}"""
+
+
+def _tokens(base: str, a: str, whole: bool) -> str:
+    shown = "CAST(code AS VARCHAR)" if whole else f"CASE WHEN (SELECT count(DISTINCT {a}) FROM {base}) < 10 THEN CAST(code AS VARCHAR) ELSE trim({a}) END"
+    codes = f"(SELECT {a}, row_number() OVER (ORDER BY min(tid)) - 1 AS code FROM {base} GROUP BY {a}) c"
+    return f"SELECT '{a}' AS attr, tid, '{a}_' || {shown} AS token FROM {base} JOIN {codes} USING ({a})"
+
+
+_WHOLE = {"n_regionkey", "p_size"}
+ORACLE_SQL["column_tokens"] = f"WITH {_PARTS} " + _all([_tokens("parts", a, a in _WHOLE) for a in PARTS])
+ORACLE_SQL["column_sentences"] = f"WITH {_GEO}, t AS (" + _all([_tokens("geo", a, a in _WHOLE) for a in GEO]) + ") SELECT attr, string_agg(token, ' ' ORDER BY tid) AS sentence FROM t GROUP BY attr"
+ORACLE_SQL["value_codes"] = f"WITH {_PARTS} SELECT attr, value, CAST(row_number() OVER (PARTITION BY attr ORDER BY value) AS INTEGER) AS code FROM ({_items('parts', PARTS)}) i"
+ORACLE_SQL["row_differences"] = "SELECT o_orderkey AS tid, CASE WHEN o_orderkey % 11 = 0 THEN 'first' ELSE 'both' END AS side FROM orders WHERE o_orderkey % 11 = 0 OR (o_orderkey % 7 = 0 AND o_orderpriority IS NOT NULL)"
+ORACLE_SQL["set_distances"] = f"WITH d AS (SELECT DISTINCT array_to_string(attrs, '') AS letters, array_to_string(attrs, ',') AS attrs FROM {_sets(SETS)}) SELECT a.attrs, CAST(sum(levenshtein(a.letters, b.letters)) AS BIGINT) AS total FROM d a, d b GROUP BY a.attrs"
+ORACLE_SQL["cross_information"] = f"""WITH c AS ({_SORTED} {_sets(SETS)}), r AS ({_SORTED} {_sets(TRUTH_SETS)}),
+m AS (SELECT c.attrs AS s, r.attrs AS p, list_filter(r.attrs, lambda x: list_contains(c.attrs, x)) AS shared, list_filter(r.attrs, lambda x: NOT list_contains(c.attrs, x)) AS rest FROM c, r),
+subs AS (SELECT shared, list_filter(rest, lambda x, i: (bits >> (i - 1)) % 2 = 1) AS more FROM (SELECT shared, rest, unnest(range(0, CAST(2 ** len(rest) AS BIGINT))) AS bits FROM m WHERE len(p) >= len(s)) b)
+SELECT array_to_string(p, ',') AS attrs FROM m WHERE len(p) < len(s) UNION SELECT array_to_string(list_sort(list_concat(shared, more)), ',') FROM subs WHERE len(shared) + len(more) = 2"""

@@ -66,3 +66,19 @@ def escaped_parts(text: Column, separator: str = ",") -> Column:
     """Parts of a list of escaped values, still escaped, without the blanks around them."""
     ended = F.regexp_replace(text, rf"\G((?:[^\\{separator}]|\\.)*+){separator}", "$1\u0001")
     return F.transform(F.split(ended, "\u0001"), stripped)
+
+
+def value_hash(*columns: Column) -> Column:
+    """64 bits of values as text, in order; equal values have equal hashes."""
+    return F.xxhash64(*[as_text(c) for c in columns])
+
+
+def list_distance(a: Column, b: Column, vocabulary: Sequence[str]) -> Column:
+    """The edit distance of two arrays of names, each name a letter of its own. NULL where a name isn't in the
+    vocabulary, which holds up to 20,000 names."""
+    letters = {name: chr(0x4E00 + k) for k, name in enumerate(sorted(set(vocabulary)))}
+    if len(letters) > 20_000:
+        raise ValueError(f"{len(letters)} names, at most 20000 have letters")
+    code = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+    spelled = lambda v: F.when(F.forall(v, lambda n: F.map_contains_key(code, n)), F.array_join(F.transform(v, lambda n: code[n]), ""))
+    return F.levenshtein(spelled(a), spelled(b))

@@ -59,3 +59,42 @@ SIMILARITIES: dict[str, Callable[[Column, Column], Column]] = {
     "euclidean": lambda a, b: -euclidean(a, b),
     "manhattan": lambda a, b: -manhattan(a, b),
 }
+
+
+def _by_place(tokens: Column, start: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """An array of vectors merged place by place."""
+    return F.aggregate(tokens, start, lambda acc, v: F.zip_with(acc, v, merge))
+
+
+#: The ways of `pooled`.
+POOLINGS = ("first", "max", "mean", "mean_sqrt_length", "weighted_mean", "last")
+
+
+def pooled(tokens: Column, mask: Column, how: str, weights_sum: Column | None = None) -> Column:
+    """One vector for an array of token vectors, by the tokens whose mask is 1 (but for first: the first token).
+
+    weighted_mean weighs tokens by their place from 1. weights_sum takes the place of the number (or sum
+    of weights) of tokens that means are divided by. last is the token before the first 0 of the mask; where no 0 is
+    in the mask, or it comes first, it's the first token, masked too. max of no token is -1e9 everywhere."""
+    if how not in POOLINGS:
+        raise ValueError(f"unknown pooling {how!r}")
+    vectors, mask = tokens.cast("array<array<double>>"), mask.cast("array<double>")
+    places = F.sequence(F.lit(1), F.size(vectors[0]))
+    zeros, masked = F.transform(places, lambda _: F.lit(0.0)), F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x * m))
+    if how == "first":
+        return vectors[0]
+    if how == "max":
+        hidden = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: F.when(m == 0, F.lit(-1e9)).otherwise(x)))
+        return _by_place(hidden, F.transform(places, lambda _: F.lit(float("-inf"))), lambda a, x: F.greatest(a, x))
+    if how == "last":
+        return masked[F.greatest(F.array_position(mask, F.lit(0.0)).cast("int") - 2, F.lit(0))]
+    weights = F.transform(mask, lambda m, i: m * (i + 1)) if how == "weighted_mean" else mask
+    total = _by_place(F.zip_with(vectors, weights, lambda v, w: F.transform(v, lambda x: x * w)), zeros, lambda a, x: a + x)
+    by = F.greatest(_summed(weights) if weights_sum is None else weights_sum.cast("double"), F.lit(1e-9))
+    by = F.sqrt(by) if how == "mean_sqrt_length" else by
+    return F.transform(total, lambda x: x / by)
+
+
+def chunk_average(chunks: Column) -> Column:
+    """The unit vector of the mean of chunks' vectors."""
+    return normalised(pooled(chunks, F.transform(chunks, lambda _: F.lit(1)), "mean"))

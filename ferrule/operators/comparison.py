@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.functions.text import list_distance
 from ferrule.operators.rules import canonical, covers
 
 _RULE = ["lhs", "rhs_attr", "rhs_value"]
@@ -73,3 +76,32 @@ def rank_displacement(found: DataFrame, expected: DataFrame, at: int) -> DataFra
     wanted = expected.select("item", F.col("rank").alias("expected"))
     out = found.where(F.col("rank") < at).join(wanted, "item", "left")
     return out.agg(F.coalesce(F.sum(F.when(F.col("expected").isNull(), at + 1).otherwise(F.abs(F.col("rank") - F.col("expected")))), F.lit(0)).cast("long").alias("displacement"))
+
+
+def row_differences(first: DataFrame, second: DataFrame, tid: str, columns: Sequence[str]) -> DataFrame:
+    """(tid, side): rows that only the "first" or "second" table has, or whose columns differ ("both"). NULLs are
+    equal. One full join on tid."""
+    pack = lambda df, s: df.select(F.col(tid).alias(f"tid_{s}"), F.struct(*columns).alias(f"row_{s}"))
+    met = pack(first, "a").join(pack(second, "b"), F.col("tid_a") == F.col("tid_b"), "full")
+    side = F.when(F.col("tid_b").isNull(), "first").when(F.col("tid_a").isNull(), "second").otherwise("both")
+    return met.where(~F.col("row_a").eqNullSafe(F.col("row_b"))).select(F.coalesce("tid_a", "tid_b").alias("tid"), side.alias("side"))
+
+
+def distance_sums(sets: DataFrame, vocabulary: Sequence[str], most: int | None = None) -> DataFrame:
+    """(attrs, total): for each distinct set, as an array in its order, the sum of its edit distances to all
+    others; with most, the largest ones (a top-k report; ties: the greater array). Sets of attributes are a short table,
+    and each is a stated query against all."""
+    each = sets.select("attrs").distinct()
+    met = each.join(F.broadcast(each.withColumnRenamed("attrs", "other")) if each.count() <= 10_000 else each.withColumnRenamed("attrs", "other"), F.lit(True))
+    out = met.groupBy("attrs").agg(F.sum(list_distance(F.col("attrs"), F.col("other"), vocabulary)).alias("total"))
+    return out if most is None else out.orderBy(F.desc("total"), F.desc("attrs")).limit(most)
+
+
+def shortened(sets: DataFrame, size: int, ways: int, seed: int = 0) -> DataFrame:
+    """Distinct sets of up to size members; of a longer one, `ways` subsets of size members, the same in each run."""
+    each = sets.select(F.array_sort(F.array_distinct("attrs")).alias("attrs"))
+    rank = lambda n: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("way").cast("string"), F.array_join("attrs", ","), n)).alias("h"), n.alias("n"))
+    dealt = each.where(F.size("attrs") > size).withColumn("way", F.explode(F.sequence(F.lit(1), F.lit(ways))))
+    chosen = F.slice(F.array_sort(F.transform("attrs", rank)), 1, size)
+    short = dealt.select(F.array_sort(F.transform(chosen, lambda s: s.n)).alias("attrs"))
+    return each.where(F.size("attrs") <= size).unionByName(short).distinct()

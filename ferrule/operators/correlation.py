@@ -153,12 +153,15 @@ def forest_sets(table: DataFrame, columns: Sequence[str], k: int, seed: int = 0)
 
 
 def grown_sets(sets: Sequence[Sequence[str]], related: Sequence[Sequence[str]], size: int, most: int | None = None) -> list[list[str]]:
-    """Each set that shares a member with a related one, filled up from it to exactly size, in all ways; at
-    most `most` of them, in order."""
-    out = []
-    for s in sets:
-        for other in related:
-            more = sorted(set(other) - set(s))
-            if set(s) & set(other) and len(s) < size <= len(s) + len(more):
-                out += [sorted([*s, *m]) for m in combinations(more, size - len(s))]
-    return sorted(map(list, {tuple(x) for x in out}))[:most]
+    """For each set and each related one of as many members or more: what they share, filled up from the related
+    one to exactly size, in all ways; a smaller related set as it is. Distinct, in order, at most `most` of them."""
+    out = set()
+    for s in map(set, sets):
+        for other in map(set, related):
+            if len(other) < len(s):
+                out.add(tuple(sorted(other)))
+                continue
+            shared = s & other
+            if len(shared) <= size:
+                out |= {tuple(sorted((*shared, *more))) for more in combinations(sorted(other - s), size - len(shared))}
+    return [list(x) for x in sorted(out)][:most]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.vectors import cosine_distance, euclidean, manhattan
+from ferrule.operators.clustering import components
 
 
 def classification_curve(scored: DataFrame) -> DataFrame:
@@ -129,3 +130,29 @@ def dcg(relevances: Column) -> Column:
 def reduced(measures: Sequence[float], how: str = "last") -> float:
     """One number for several evaluations run in a row."""
     return {"last": lambda m: m[-1], "mean": lambda m: sum(m) / len(m), "max": max}[how](list(measures))
+
+
+def paraphrase_measures(pairs: DataFrame, duplicates: DataFrame, transitive: bool = False) -> DataFrame:
+    """(pairs, average_precision, f1, precision, recall, threshold) of mined pairs (a, b, score), the best first (ties:
+    by a and b), against duplicates (a, b) in either order. The best cut is the first of the greatest f1, and its
+    threshold the middle of its score and the next. transitive: what a chain of duplicates joins is one, too; then
+    pairs are compared by component, and counted from sizes of components, never written out."""
+    if transitive:
+        member = components(duplicates.where("a <> b"))
+        total = member.groupBy("component").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("total"))
+        side = lambda s: member.select(F.col("id").alias(s), F.col("component").alias(f"of_{s}"))
+        judged = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        judged = judged.select("a", "b", "score", F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)).cast("int").alias("hit"))
+    else:
+        known = duplicates.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
+        total = known.agg(F.count("*").alias("total"))
+        met = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
+        judged = pairs.join(known, met, "left").select("a", "b", "score", F.col("low").isNotNull().cast("int").alias("hit"))
+    order = Window.orderBy(F.desc("score"), "a", "b")  # of mined pairs, a top-k report
+    at = judged.withColumn("n", F.row_number().over(order)).withColumn("right", F.sum("hit").over(order)).withColumn("next", F.coalesce(F.lead("score").over(order), "score"))
+    at = at.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    precision, recall = F.col("right") / F.col("n"), F.col("right") / F.col("total")
+    cut = F.struct((2 * F.col("right") / (F.col("n") + F.col("total"))).alias("f1"), (-F.col("n")).alias("before"), precision.alias("precision"), recall.alias("recall"), ((F.col("score") + F.col("next")) / 2).alias("threshold"))
+    out = at.agg(F.count("*").alias("pairs"), (F.sum(F.when(F.col("hit") == 1, precision)) / F.max("total")).alias("average_precision"), F.max(F.when(F.col("hit") == 1, cut)).alias("best"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select("pairs", zero(F.col("average_precision")).alias("average_precision"), *[zero(F.col(f"best.{c}")).alias(c) for c in ("f1", "precision", "recall", "threshold")])

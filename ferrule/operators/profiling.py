@@ -84,3 +84,38 @@ def gap_index(numbers: DataFrame, drop: float = 0.9) -> DataFrame:
     order = Window.orderBy("rank")
     at = numbers.withColumn("next", F.lead("value").over(order))
     return at.agg(F.coalesce(F.min(F.when((F.col("value") - F.col("next")) / F.col("value") > drop, F.col("rank"))), F.count("*")).cast("long").alias("index"))
+
+
+def largest_left_side(columns: Sequence[str], share: float) -> int:
+    """How many attributes a left side may have: under 15 columns, a share of them, rounded down, and one; else half."""
+    return int(len(columns) * share) + 1 if len(columns) < 15 else len(columns) // 2
+
+
+def domain(table: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """(attr, value, code): the values of each attribute, numbered from 1 in order of value."""
+    values = item_frequencies(table, attributes).select("attr", "value")
+    return values.withColumn("code", F.row_number().over(Window.partitionBy("attr").orderBy("value")))
+
+
+def column_tokens(table: DataFrame, attributes: Sequence[str], tid: str, few: int = 10) -> DataFrame:
+    """(attr, tid, token): each cell as `column_value`. Whole numbers, and texts of under `few` values, are numbered
+    from 0 by their first row; other texts are trimmed."""
+    kinds = dict(table.dtypes)
+    whole = [a for a in attributes if kinds[a] in ("tinyint", "smallint", "int", "bigint")]
+    texts = [a for a in attributes if kinds[a] == "string"]
+    each = [F.struct(F.lit(a).alias("attr"), as_text(F.col(a)).alias("value"), F.lit(a in whole).alias("whole"), F.lit(a in texts).alias("text")) for a in attributes]
+    cells = table.select(F.col(tid).alias("tid"), F.explode(F.array(*each)).alias("c")).select("tid", "c.*")
+    firsts = cells.groupBy("attr", "value", "whole", "text").agg(F.min("tid").alias("first"))
+    n = F.count("*").over(Window.partitionBy("attr"))
+    coded = firsts.withColumn("n", n).where(F.col("whole") | (F.col("text") & (F.col("n") < few)))
+    codes = coded.select("attr", "value", (F.row_number().over(Window.partitionBy("attr").orderBy("first")) - 1).alias("code"))
+    out = cells.join(codes, ["attr", "value"], "left")
+    shown = F.coalesce(F.col("code").cast("string"), F.when(F.col("text"), F.trim("value")).otherwise(F.col("value")))
+    return out.select("attr", "tid", F.concat_ws("_", "attr", shown).alias("token"))
+
+
+def column_sentences(table: DataFrame, attributes: Sequence[str], tid: str, few: int = 10) -> DataFrame:
+    """(attr, sentence): a column's tokens in the order of tid, joined by blanks. A sentence is one value of one
+    row, so this is for samples; `column_tokens` holds the same for tables of any size."""
+    by = column_tokens(table, attributes, tid, few).groupBy("attr").agg(F.array_sort(F.collect_list(F.struct("tid", "token"))).alias("all"))
+    return by.select("attr", F.array_join(F.transform("all", lambda t: t.token), " ").alias("sentence"))

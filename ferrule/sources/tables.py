@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import short_number
+from ferrule.functions.text import as_text, short_number
 
 
 def read_table(spark: SparkSession, path: str, separator: str = ",", header: bool = True, row_share: float = 1.0, column_share: float = 1.0, first_columns: int | None = None, seed: int = 0) -> DataFrame:
@@ -42,6 +42,38 @@ def write_table(table: DataFrame, path: str, separator: str = ",") -> None:
     table.write.csv(path, sep=separator, header=True)
 
 
+def write_rows(table: DataFrame, tids: DataFrame, tid: str, path: str, separator: str = ",") -> None:
+    """The rows of a table whose number is in tids (tid), without the number."""
+    wanted = tids.select(F.col("tid").alias("__wanted"))
+    write_table(table.join(wanted, F.col(tid) == F.col("__wanted"), "left_semi").drop(tid), path, separator)
+
+
+def encoded_like(table: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns as codes from 1 by another table's values (those of `encoded`); values that it hasn't are numbered
+    on after its own, in order."""
+    from ferrule.operators.profiling import domain
+
+    known = domain(other, columns)
+    sizes = known.groupBy("attr").agg(F.max("code").alias("size"))
+    new = domain(table, columns).drop("code").join(known, ["attr", "value"], "left_anti").join(sizes, "attr", "left")
+    order = Window.partitionBy("attr").orderBy("value")
+    codes = known.unionByName(new.select("attr", "value", (F.row_number().over(order) + F.coalesce("size", F.lit(0))).alias("code")))
+    out = table
+    for k, c in enumerate(columns):
+        one = codes.where(F.col("attr") == c).select(F.col("value").alias(f"__value{k}"), F.col("code").alias(f"__code{k}"))
+        out = out.join(one, as_text(F.col(c)) == F.col(f"__value{k}"), "left")
+    return out.select(*[F.col(f"__code{k}").alias(c) if (k := list(columns).index(c) if c in columns else -1) >= 0 else F.col(c) for c in table.columns])
+
+
+def decoded(codes: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Codes of columns back to values, by a dictionary (attr, value, code)."""
+    out = codes
+    for k, c in enumerate(columns):
+        one = dictionary.where(F.col("attr") == c).select(F.col("code").alias(f"__code{k}"), F.col("value").alias(f"__value{k}"))
+        out = out.join(one, F.col(c) == F.col(f"__code{k}"), "left")
+    return out.select(*[F.col(f"__value{list(columns).index(c)}").alias(c) if c in columns else F.col(c) for c in codes.columns])
+
+
 def encoded(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as codes from 1, by value; (attr, value, code) order is the dictionary's."""
     from pyspark.ml.feature import StringIndexer

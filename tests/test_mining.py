@@ -6,6 +6,7 @@ from itertools import combinations, product
 import pytest
 
 from ferrule.operators import mining
+from ferrule.plans import lattice
 
 A = ["a", "b", "c"]
 
@@ -77,3 +78,22 @@ def test_strategies_agree_and_unknown_ones_fail(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a string, b string, c string")
     assert mining.mine(df, A, 1).collect() == []
+
+
+def test_a_wide_table_is_mined_level_by_level(spark):
+    """Left sides that determine an attribute aren't grown, and the plan has no part for each candidate."""
+    rng = random.Random(7)
+    names = [f"c{k:02}" for k in range(12)]
+    rows = [tuple(str((v := rng.randrange(60)) % (2 + k)) if k % 3 else str(v // 7) for k in range(12)) for _ in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names))
+    assert mining.mine(df, names, 60, 0.9, 4).count() >= 0
+    small, large = (len(lattice.unfolded(lattice.compressed(df, names), lattice.candidates(names, k))._jdf.queryExecution().optimizedPlan().treeString().splitlines()) for k in (1, 4))
+    assert small == large
+
+
+def test_next_level_needs_all_subsets():
+    at = [lattice.Candidate(x, "z") for x in (("a",), ("b",), ("c",))]
+    two = lattice.next_level(at)
+    assert [c.lhs for c in two] == [("a", "b"), ("a", "c"), ("b", "c")]
+    assert lattice.next_level(two[:2]) == []
+    assert [c.lhs for c in lattice.next_level(two)] == [("a", "b", "c")]

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.functions import text, vectors
 from ferrule.functions.text import short_number, trimmed_list
-from ferrule.operators import clustering, correlation, evaluation, sampling
+from ferrule.operators import clustering, comparison, correlation, evaluation, profiling, sampling
 from ferrule.sources import examples, tables
 from ferrule.sources import rules as rule_files
 from ferrule.streaming import violations
@@ -111,3 +112,51 @@ def test_streamed_class_counts(spark, tmp_path):
     run.awaitTermination()
     out = violations.confidence(spark.table("counts"), ["a"]).collect()
     assert sorted((r.support, r.hits) for r in out) == [(1, 1), (3, 2)]
+
+
+def test_pooling_and_list_distance(spark):
+    df = spark.createDataFrame([([[1.0, -2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0], ["a", "bb", "c"], ["bb", "a"])], "t array<array<double>>, m array<int>, x array<string>, y array<string>")
+    shown = lambda how: df.select(vectors.pooled(F.col("t"), F.col("m"), how).alias("v")).first().v
+    assert {h: shown(h) for h in vectors.POOLINGS} == {"first": [1.0, -2.0], "max": [3.0, 4.0], "mean": [2.0, 1.0], "mean_sqrt_length": [4 / 2**0.5, 2 / 2**0.5], "weighted_mean": [7 / 3, 2.0], "last": [3.0, 4.0]}
+    with pytest.raises(ValueError, match="unknown pooling"):
+        shown("middle")
+    words = ["a", "bb", "c"]
+    assert df.select(text.list_distance(F.col("x"), F.col("y"), words).alias("d")).first().d == 2  # one left out, one replaced
+    assert df.select(text.list_distance(F.col("x"), F.col("y"), ["a"]).alias("d")).first().d is None
+
+
+def test_codes_of_another_table(spark, tmp_path):
+    first = spark.createDataFrame([("x", "1"), ("z", "2")], "a string, b string")
+    second = spark.createDataFrame([(1, "z", "2"), (2, "y", "2"), (3, "w", None)], "tid long, a string, b string")
+    codes = tables.encoded_like(second, first, ["a", "b"])
+    assert [tuple(r) for r in codes.orderBy("tid").collect()] == [(1, 2, 2), (2, 4, 2), (3, 3, 3)]
+    back = tables.decoded(tables.encoded_like(first, first, ["a"]), profiling.domain(first, ["a"]), ["a"])
+    assert sorted(map(tuple, back.collect())) == [("x", "1"), ("z", "2")]
+    tables.write_rows(second, second.where("tid < 3").select("tid"), "tid", str(tmp_path / "rows"))
+    assert sorted(map(tuple, tables.read_table(spark, str(tmp_path / "rows")).collect())) == [("y", "2"), ("z", "2")]
+
+
+def test_short_sets_and_limits(spark):
+    df = spark.createDataFrame([(list("abcdef"),), (["b", "a"],)], "attrs array<string>")
+    short = [r.attrs for r in comparison.shortened(df, 3, 4).collect()]
+    assert ["a", "b"] in short and all(len(x) <= 3 and x == sorted(x) for x in short) and len(short) > 1
+    assert sorted(short) == sorted(r.attrs for r in comparison.shortened(df, 3, 4).collect())
+    assert profiling.largest_left_side(list("abcd"), 0.5) == 3 and profiling.largest_left_side([str(k) for k in range(20)], 0.5) == 10
+
+
+def test_centres_relax(spark):
+    angles = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [0.01, 1.0]), (4, [0.0, 1.1])], "id long, vector array<double>")
+    for relax in ("score", "size"):
+        assert clustering.centres(angles, 0.9, 4, relax).count() >= 1
+    assert clustering.centres(angles.limit(0), 0.9, 4).count() == 0
+    with pytest.raises(ValueError, match="relax"):
+        clustering.centres(angles, 0.9, 4, "both")
+
+
+def test_components_of_duplicates_are_counted(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (4, 5, 0.7)], "a long, b long, score double")
+    known = spark.createDataFrame([(2, 1), (2, 3)], "a long, b long")
+    out = evaluation.paraphrase_measures(pairs, known, transitive=True).first()
+    assert (out.pairs, out.average_precision, out.recall, out.precision) == (3, 2 / 3, 2 / 3, 1.0)
+    none = evaluation.paraphrase_measures(pairs, known.limit(0)).first()
+    assert (none.pairs, none.average_precision, none.f1) == (3, 0.0, 0.0)
