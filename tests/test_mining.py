@@ -84,7 +84,8 @@ def test_a_wide_table_is_mined_level_by_level(spark):
     """Left sides that determine an attribute aren't grown, and the plan has no part for each candidate."""
     rng = random.Random(7)
     names = [f"c{k:02}" for k in range(12)]
-    rows = [tuple(str((v := rng.randrange(60)) % (2 + k)) if k % 3 else str(v // 7) for k in range(12)) for _ in range(300)]
+    drawn = [rng.randrange(60) for _ in range(300)]
+    rows = [tuple(str(v % (2 + k) if k % 3 else v // 7) for k in range(12)) for v in drawn]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names))
     assert mining.mine(df, names, 60, 0.9, 4).count() >= 0
     small, large = (len(lattice.unfolded(lattice.compressed(df, names), lattice.candidates(names, k))._jdf.queryExecution().optimizedPlan().treeString().splitlines()) for k in (1, 4))
