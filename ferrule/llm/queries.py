@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import chat_trees, decontamination, html_extraction, line_dedup, ngram_join, quality_rules, source_mixing, token_counts, toxicity, turn_repair, url_filter
+from ferrule.llm import chat_trees, decontamination, html_extraction, lexical_search, line_dedup, ngram_join, quality_rules, source_mixing, token_counts, toxicity, turn_repair, url_filter
 from ferrule.llm.shared import importable
 
 
@@ -71,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations")
     return turn_repair.summaries(turn_repair.damaged(said), said)
@@ -87,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op12_turn_repair": op12_turn_repair,
 }

@@ -53,6 +53,23 @@ cleaned AS (
   FROM parts)
 SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, length(array_to_string(blocks, chr(10) || chr(10))) AS n_chars
 FROM cleaned""",
+    "op11_lexical_search": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n_row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+held AS (SELECT n_row, doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS documents, sum(n) AS length FROM held),
+items AS (
+  SELECT row_number() OVER () AS i_row, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+  FROM benchmark),
+asked AS (SELECT i_row, item_id, unnest(terms) AS term FROM items),
+said AS (SELECT n_row, doc_id, n, term, count(*) AS tf FROM (SELECT n_row, doc_id, n, unnest(terms) AS term FROM held) GROUP BY ALL),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM said, totals GROUP BY term, documents),
+scored AS (
+  SELECT i_row, item_id, n_row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // length)))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN said USING (term), totals GROUP BY ALL)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i_row ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored WHERE score > 0) WHERE r <= 10""",
     # one turn at a time: for each state the least (cost, audit) and what is repaired so far
     "op12_turn_repair": r"""
 WITH RECURSIVE crc_table AS (
