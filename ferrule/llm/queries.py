@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import chat_trees, decontamination, html_extraction, lexical_search, line_dedup, ngram_join, quality_rules, source_mixing, token_counts, toxicity, turn_repair, url_filter
+from ferrule.llm import chat_trees, decontamination, html_extraction, language_model, lexical_search, line_dedup, ngram_join, quality_rules, source_mixing, token_counts, toxicity, turn_repair, url_filter
 from ferrule.llm.shared import importable
 
 
@@ -80,6 +80,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.summaries(turn_repair.damaged(said), said)
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -93,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_lexical_search": op11_lexical_search,
     "op12_turn_repair": op12_turn_repair,
+    "op13_lm_scoring": op13_lm_scoring,
 }
