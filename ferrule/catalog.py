@@ -561,8 +561,13 @@ def dbscan_clusters(spark, folder):
 
 @query
 def vector_communities(spark, folder):
-    found = clustering.communities(vectors(spark, folder).select("id", "vector"), 0.3, 5)
-    return spark.createDataFrame([(k, i) for k, g in enumerate(found) for i in g], "community int, id long")
+    return clustering.communities(vectors(spark, folder).select("id", "vector"), 0.3, 5)
+
+
+@query
+def cosine_dbscan(spark, folder):
+    """All rows by cosine distance, noise as a cluster of its own."""
+    return clustering.dbscan(vectors(spark, folder).select("id", "vector"), 0.6, 3, "cosine", noise=True)
 
 
 @query
@@ -577,6 +582,12 @@ def community_centres(spark, folder):
     return clustering.centres(vectors(spark, folder).select("id", "vector"), 0.3, 5)
 
 
+@query
+def reduced_community_centres(spark, folder):
+    """Centres by communities of 8 principal components."""
+    return clustering.centres(vectors(spark, folder).select("id", "vector"), 0.8, 5, dimensions=8)
+
+
 @query
 def cluster_groups(spark, folder):
     out = clustering.groups(vectors(spark, folder).select("id", F.col("label").alias("cluster")))

@@ -294,6 +294,24 @@ SELECT id, cluster FROM points LEFT JOIN (SELECT * FROM parts UNION ALL SELECT *
 }
 
 
+ORACLE_SQL["cosine_dbscan"] = (
+    ORACLE_SQL["dbscan_clusters"].replace("list_distance(a.v, b.v) <= 1.13", "list_cosine_similarity(a.v, b.v) >= 0.4").replace("SELECT id, cluster FROM points", "SELECT id, coalesce(cluster, -1) AS cluster FROM points")
+)
+# one group at a time, in order: its rows that no earlier one took, if there are enough
+_COMMUNITIES = """
+WITH RECURSIVE points AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON a.id = b.id OR list_cosine_similarity(a.v, b.v) >= 0.3),
+grouped AS (SELECT a, list(b) AS members, count(*) AS size FROM near GROUP BY a HAVING count(*) >= 5),
+ordered AS (SELECT *, row_number() OVER (ORDER BY size DESC, a) AS k FROM grouped),
+walk(k, community, fresh, taken) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL
+  SELECT o.k, o.a, CASE WHEN len(fresh_) >= 5 THEN fresh_ ELSE [] END, CASE WHEN len(fresh_) >= 5 THEN list_concat(taken, fresh_) ELSE taken END
+  FROM (SELECT o.k, o.a, w.taken, list_filter(o.members, lambda x: NOT list_contains(w.taken, x)) AS fresh_ FROM walk w JOIN ordered o ON o.k = w.k + 1) o)
+"""
+ORACLE_SQL["vector_communities"] = _COMMUNITIES + "SELECT community, unnest(fresh) AS id FROM walk"
+ORACLE_SQL["community_centres"] = _COMMUNITIES + ", said AS (SELECT community, unnest(fresh) AS id FROM walk) SELECT community AS cluster, arg_min(id, md5('0|' || id)) AS id FROM said GROUP BY 1"
+
 _WIDE = f"wide AS (SELECT {', '.join(WIDE)} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _WIDE_SETS = _all([f"SELECT {[*x]} AS attrs, count(*) AS n_classes FROM (SELECT DISTINCT {', '.join(x)} FROM wide) v" for k in (1, 2) for x in combinations(sorted(WIDE), k)])
 _WIDE_LEFT = ", ".join(f"CASE WHEN p_{a} IS NOT NULL THEN '{a}' END" for a in sorted(WIDE))

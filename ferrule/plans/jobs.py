@@ -1,9 +1,8 @@
-"""One job over many sub-tables: each attribute set is mined in the same plan, not in a process of its own."""
+"""Jobs: tables, attribute sets and parameters from files, rules to files."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,20 @@ from pyspark.sql import functions as F
 from ferrule.operators.mining import mine
 
 
+def in_sets(rules: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Rules with set_id, from 1, of each set that holds all their attributes; one in several sets comes once for each."""
+    told = rules.sparkSession.createDataFrame([(k + 1, sorted(s)) for k, s in enumerate(sets)], "set_id int, attrs array<string>")
+    used = F.array_distinct(F.concat(F.transform("lhs", lambda i: i.attr), F.array("rhs_attr")))
+    # as many sets as the job names, whatever the rows
+    return rules.join(F.broadcast(told), F.size(F.array_except(used, F.col("attrs"))) == 0).drop("attrs")
+
+
 def mine_sub_tables(table: DataFrame, sets: Sequence[Sequence[str]], least_support: int, least_confidence: float = 1.0, largest: int = 2) -> DataFrame:
-    """Minimal rules of each sub-table, with set_id from 1 in front."""
-    mined = [mine(table.select(*s), s, least_support, least_confidence, min(largest, len(s) - 1)).withColumn("set_id", F.lit(k + 1)) for k, s in enumerate(sets)]
-    return reduce(DataFrame.unionByName, mined)
+    """Minimal rules of each sub-table, with set_id from 1.
+
+    A sub-table has all rows, so whether a rule holds, and is minimal, doesn't depend on which other attributes are
+    there. So all sub-tables are mined at once, each part of a set once however many sets share it, and rules are
+    dealt to the sets that hold them: the plan and the scans don't grow with the sets."""
+    attributes = sorted({a for s in sets for a in s})
+    rules = mine(table.select(*attributes), attributes, least_support, least_confidence, largest, within=sets)
+    return in_sets(rules, sets)
