@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from ferrule.catalog_sql import GEO, ORACLE_SQL, ORDER_GEO, PARTS, RULE_TEXTS, SETS, TRUTH_SETS, WIDE
 from ferrule.functions.text import row_sentence, short_number, weighted_sentence
 from ferrule.functions.vectors import POOLINGS, chunk_average, cosine, dot, euclidean, gaussian_kernel, manhattan, normalised, pooled
-from ferrule.operators import clustering, comparison, correlation, evaluation, mining, profiling, retrieval, sampling, verification
+from ferrule.operators import batches, clustering, comparison, correlation, evaluation, mining, profiling, retrieval, sampling, verification
 from ferrule.operators.rules import COLUMNS, constant_rule_text, presented, rule_text
 from ferrule.plans import jobs
 from ferrule.plans.lattice import compressed
+from ferrule.plans.stages import shared_folder, until_exit
 from ferrule.sources import examples
-from ferrule.sources.rules import parsed, parsed_constant
+from ferrule.sources.rules import parsed, parsed_constant, parsed_job, read_sets, write_sets
+from ferrule.sources.tables import first_rows, read_table, write_table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -189,6 +192,48 @@ def sub_table_rules(spark, folder):
     return out.select("set_id", rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value")).alias("rule"), "support", "hits")
 
 
+def filed(spark: SparkSession, table_: DataFrame, tag: str) -> str:
+    """A table as CSV in the shared folder, as a job's input."""
+    path = until_exit(spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}")
+    write_table(table_, path)
+    return path
+
+
+@query
+def run_job(spark, folder):
+    """From files to rules and back: a job's text names a CSV table, another file its sub-tables; rules are written as
+    text, read again, and met with their measures."""
+    path, home = filed(spark, geo(spark, folder).drop("tid"), "table"), until_exit(spark, f"{shared_folder(spark)}/job-{uuid.uuid4().hex}")
+    write_sets(spark.createDataFrame([(["n_name", "r_name"],), (["c_mktsegment", "r_name", "n_regionkey"],)], "attrs array<string>").coalesce(1), f"{home}/sets")
+    job = parsed_job(f"{path}\n10\n0.5\n2\n{mining.STRATEGIES[-1]}\n")
+    named = [r.attrs for r in read_sets(spark, f"{home}/sets").collect()]  # as many as the job names
+    found = jobs.run_job(spark, job, sorted(named, key=len), home)
+    text = rule_text(F.col("lhs"), F.col("rhs_attr"), F.col("rhs_value"))
+    back = jobs.read_back(spark, job, home).select("file", text.alias("rule"))
+    return found.withColumn("rule", text).join(back, ["file", "rule"], "left_semi").select("file", "set_id", "rule", "support", "hits")
+
+
+@query
+def sampled_columns(spark, folder):
+    """A CSV table's first columns, and its first rows by number: what is read of files."""
+    rows = read_table(spark, filed(spark, parts(spark, folder), "parts"), first_columns=3)
+    return first_rows(rows.withColumn("tid", F.col("tid").cast("long")), 1000, "tid")
+
+
+# batches
+
+
+@query
+def distinct_text_batches(spark, folder):
+    return batches.distinct_batches(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), 32)
+
+
+@query
+def label_batches(spark, folder):
+    rows = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("label"))
+    return batches.label_batches(rows, 16, 4)
+
+
 # checking rules
 
 

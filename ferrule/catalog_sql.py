@@ -320,6 +320,18 @@ ORACLE_SQL["free_lhs_rules"] = f"""WITH {_WIDE}, {_mined('wide', WIDE, 2, 20, 0.
 tied AS (SELECT s.attrs FROM sets s JOIN sets t ON t.n_classes = s.n_classes AND len(t.attrs) = len(s.attrs) - 1 AND list_has_all(s.attrs, t.attrs))
 {_shown('mined', WIDE)} WHERE list_filter([{_WIDE_LEFT}], lambda x: x IS NOT NULL) NOT IN (SELECT attrs FROM tied)"""
 
+ORACLE_SQL["distinct_text_batches"] = """
+WITH d AS (SELECT doc_id AS id, md5('0|' || coalesce(text, '')) AS of_, md5('0|' || doc_id) AS turn FROM documents),
+m AS (SELECT CAST(greatest(ceil(sum(n) / 32), max(n)) AS BIGINT) AS batches FROM (SELECT count(*) AS n FROM d GROUP BY of_) c)
+SELECT id, (row_number() OVER (ORDER BY of_, turn, id) - 1) % batches AS batch FROM d, m"""
+ORACLE_SQL["label_batches"] = """
+WITH d AS (SELECT doc_id AS id, CAST(2 * quality + toxic AS INTEGER) AS label FROM labels),
+r AS (SELECT id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('0|' || id), id) - 1) // 4 AS part, count(*) OVER (PARTITION BY label) // 4 AS parts FROM d WHERE label IS NOT NULL),
+g AS (SELECT label, part, (row_number() OVER (ORDER BY md5('0|' || label || '|' || part), label, part) - 1) // 4 AS batch FROM (SELECT DISTINCT label, part FROM r WHERE part < parts) x)
+SELECT id, label, batch FROM r LEFT JOIN g USING (label, part) UNION ALL SELECT id, label, NULL FROM d WHERE label IS NULL"""
+ORACLE_SQL["run_job"] = f"SELECT 1 AS file, set_id, rule, support, hits FROM ({ORACLE_SQL['sub_table_rules']}) found"
+ORACLE_SQL["sampled_columns"] = f"WITH {_PARTS} SELECT tid, {', '.join(_t(a) + ' AS ' + a for a in PARTS[:2])} FROM parts ORDER BY tid LIMIT 1000"
+
 _DBSCAN = ORACLE_SQL["dbscan_clusters"][: ORACLE_SQL["dbscan_clusters"].rindex("SELECT id, cluster FROM points")]
 
 

@@ -9,18 +9,15 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.vectors import cosine_distance, euclidean, manhattan
 from ferrule.operators.clustering import components
+from ferrule.plans.ranks import beside_one, running
 
 
 def classification_curve(scored: DataFrame) -> DataFrame:
     """(cut, threshold, right, n, positives): after each distinct score but the last, highest first, as a
-    cut. scored: (score, label 0/1). Rows of a score are summed first, so that ties make no difference; the
-    window runs over distinct scores."""
+    cut. scored: (score, label 0/1). Rows of a score are summed first, so that ties make no difference."""
     by = scored.groupBy("score").agg(F.count("*").alias("rows"), F.sum("label").alias("ones"))
-    order = Window.orderBy(F.desc("score"))
-    past = order.rowsBetween(Window.unboundedPreceding, 0)
-    at = by.withColumn("n", F.sum("rows").over(past)).withColumn("right", F.sum("ones").over(past)).withColumn("next", F.lead("score").over(order))
-    total = scored.agg(F.sum("label").alias("positives"), F.count("*").alias("total"))
-    at = at.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+    at = running(by, [F.desc("score")], {"n": F.col("rows"), "right": F.col("ones")}, after={"next": "score"})
+    at = beside_one(at, scored.agg(F.sum("label").alias("positives"), F.count("*").alias("total")))
     return at.where("next is not null").withColumn("threshold", (F.col("score") + F.col("next")) / 2)
 
 
@@ -42,8 +39,7 @@ def best_accuracy(scored: DataFrame) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """(ap): the sum over distinct scores of precision * growth of recall."""
     by = scored.groupBy("score").agg(F.count("*").alias("rows"), F.sum("label").alias("ones"))
-    past = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    at = by.withColumn("precision", F.sum("ones").over(past) / F.sum("rows").over(past))
+    at = running(by, [F.desc("score")], {"n": F.col("rows"), "right": F.col("ones")}).withColumn("precision", F.col("right") / F.col("n"))
     return at.agg((F.sum(F.col("precision") * F.col("ones")) / F.sum("ones")).alias("ap"))
 
 
@@ -83,8 +79,8 @@ def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(column: str, name: str) -> DataFrame:
         by = pairs.groupBy(F.col(column).alias(f"of_{name}")).agg(F.count("*").alias("n"))
-        past = F.sum("n").over(Window.orderBy(f"of_{name}").rowsBetween(Window.unboundedPreceding, 0))
-        return by.select(f"of_{name}", (past - (F.col("n") - 1) / 2).alias(name))
+        by = running(by, [f"of_{name}"], {"past": F.col("n")})
+        return by.select(f"of_{name}", (F.col("past") - (F.col("n") - 1) / 2).alias(name))
 
     at = pairs.join(ranks(a, "ra"), F.col(a) == F.col("of_ra")).join(ranks(b, "rb"), F.col(b) == F.col("of_rb"))
     return at.agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"), F.corr("ra", "rb").alias("spearman"))
@@ -148,9 +144,8 @@ def paraphrase_measures(pairs: DataFrame, duplicates: DataFrame, transitive: boo
         total = known.agg(F.count("*").alias("total"))
         met = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
         judged = pairs.join(known, met, "left").select("a", "b", "score", F.col("low").isNotNull().cast("int").alias("hit"))
-    order = Window.orderBy(F.desc("score"), "a", "b")  # of mined pairs, a top-k report
-    at = judged.withColumn("n", F.row_number().over(order)).withColumn("right", F.sum("hit").over(order)).withColumn("next", F.coalesce(F.lead("score").over(order), "score"))
-    at = at.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    at = running(judged, [F.desc("score"), "a", "b"], {"n": F.lit(1), "right": F.col("hit")}, after={"after": "score"})
+    at = beside_one(at.withColumn("next", F.coalesce("after", "score")), total)
     precision, recall = F.col("right") / F.col("n"), F.col("right") / F.col("total")
     cut = F.struct((2 * F.col("right") / (F.col("n") + F.col("total"))).alias("f1"), (-F.col("n")).alias("before"), precision.alias("precision"), recall.alias("recall"), ((F.col("score") + F.col("next")) / 2).alias("threshold"))
     out = at.agg(F.count("*").alias("pairs"), (F.sum(F.when(F.col("hit") == 1, precision)) / F.max("total")).alias("average_precision"), F.max(F.when(F.col("hit") == 1, cut)).alias("best"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import as_text
+from ferrule.plans.ranks import beside_one, running
 
 
 def item_frequencies(table: DataFrame, attributes: Sequence[str]) -> DataFrame:
@@ -36,11 +37,11 @@ def gini(table: DataFrame, column: str) -> DataFrame:
     """(gini) of a column's values: 1 - sum((R[i] + R[i-1]) * (v[i] - v[i-1])) / (2 * sum of values), with R the
     running share of the sum in order of value. Over distinct values with counts, so ties add nothing."""
     counts = table.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("v")  # of distinct values
-    share = F.sum(F.col("v") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    at = counts.withColumn("running", share).withColumn("total", F.sum(F.col("v") * F.col("n")).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    at = at.withColumn("first", (F.col("running") - F.col("v") * (F.col("n") - 1)) / F.col("total")).withColumn("running", F.col("running") / F.col("total"))
-    area = (F.col("first") + F.lag("running").over(order)) * (F.col("v") - F.lag("v").over(order))
+    whole = F.col("v") * F.col("n")
+    at = running(counts.withColumn("whole", whole), ["v"], {"running": whole}, before={"prior": "v"})
+    at = beside_one(at, counts.agg(F.sum(whole).alias("total")))
+    first, last = F.col("running") - F.col("v") * (F.col("n") - 1), F.col("running") - F.col("whole")
+    area = (first + last) / F.col("total") * (F.col("v") - F.col("prior"))
     return at.withColumn("area", area).agg((1 - F.coalesce(F.sum("area"), F.lit(0.0)) / (2 * F.max("total"))).alias("gini"))
 
 
@@ -75,14 +76,13 @@ def sign_columns(table: DataFrame, attributes: Sequence[str], most: int = 10) ->
 def factorised(table: DataFrame, column: str, tid: str) -> DataFrame:
     """(value, code): values numbered from 0 by their first row."""
     firsts = table.groupBy(as_text(F.col(column)).alias("value")).agg(F.min(tid).alias("first"))
-    return firsts.select("value", (F.dense_rank().over(Window.orderBy("first", "value")) - 1).cast("long").alias("code"))
+    return running(firsts, ["first", "value"], {"n": F.lit(1)}).select("value", (F.col("n") - 1).cast("long").alias("code"))
 
 
 def gap_index(numbers: DataFrame, drop: float = 0.9) -> DataFrame:
     """(index): of numbers (rank from 0, value), the first rank whose successor is smaller by more than a
     share of drop; else how many there are. Numbers are a short ranked list."""
-    order = Window.orderBy("rank")
-    at = numbers.withColumn("next", F.lead("value").over(order))
+    at = running(numbers, ["rank"], after={"next": "value"})
     return at.agg(F.coalesce(F.min(F.when((F.col("value") - F.col("next")) / F.col("value") > drop, F.col("rank"))), F.count("*")).cast("long").alias("index"))
 
 

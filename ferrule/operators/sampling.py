@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import as_text
+from ferrule.plans.ranks import beside_one, running
 
 
 def order_key(*parts: Column | str) -> Column:
@@ -36,15 +37,13 @@ def round_robin(buckets: DataFrame, rows: int) -> DataFrame:
 
 def quotas(sizes: DataFrame, rows: int) -> DataFrame:
     """(cluster, size, quota): small clusters are taken whole, the rest share what is left equally, rounded
-    up. sizes: (cluster, size). Clusters are ranked in one task: a row each."""
-    order = Window.orderBy("size", "cluster")
-    all_of = order.rowsBetween(Window.unboundedPreceding, -1)
-    at = sizes.withColumn("before", F.coalesce(F.sum("size").over(all_of), F.lit(0))).withColumn("rank", F.row_number().over(order))
-    at = at.withColumn("clusters", F.count("*").over(Window.partitionBy()))
+    up. sizes: (cluster, size)."""
+    at = running(sizes, ["size", "cluster"], {"so_far": F.col("size"), "rank": F.lit(1)}).withColumn("before", F.col("so_far") - F.col("size"))
+    at = beside_one(at, sizes.agg(F.count("*").alias("clusters")))
     # a cluster is whole if all smaller ones are, and its size is at most an equal share of the rest
     share = F.ceil((F.lit(rows) - F.col("before")) / (F.col("clusters") - F.col("rank") + 1))
     at = at.withColumn("share", F.greatest(share, F.lit(0))).withColumn("whole", F.col("size") <= F.col("share"))
-    at = at.withColumn("cut", F.min(F.when(~F.col("whole"), F.struct("rank", "share"))).over(Window.partitionBy()))
+    at = beside_one(at, at.agg(F.min(F.when(~F.col("whole"), F.struct("rank", "share"))).alias("cut")))
     quota = F.when(F.col("cut").isNull() | (F.col("rank") < F.col("cut.rank")), F.col("size")).otherwise(F.least(F.col("size"), F.col("cut.share")))
     return at.select("cluster", "size", quota.cast("long").alias("quota"))
 

@@ -35,19 +35,6 @@ def candidates(attributes: Sequence[str], largest: int, smallest: int = 1) -> li
     return [Candidate(x, a) for k in range(smallest, largest + 1) for x in combinations(ordered, k) for a in ordered if a not in x]
 
 
-def next_level(open_ones: Iterable[Candidate]) -> list[Candidate]:
-    """The candidates with one attribute more on the left all of whose left sides with one less are open.
-
-    Left sides that agree in all but the last attribute are joined, and the other subsets looked up."""
-    alive = set(open_ones)
-    by_prefix: dict[tuple[tuple[str, ...], str], list[str]] = {}
-    for c in alive:
-        by_prefix.setdefault((c.lhs[:-1], c.rhs), []).append(c.lhs[-1])
-    made = [Candidate((*prefix, *pair), rhs) for (prefix, rhs), last in by_prefix.items() for pair in combinations(sorted(last), 2)]
-    whole = [c for c in made if all(Candidate(c.lhs[:k] + c.lhs[k + 1 :], c.rhs) in alive for k in range(len(c.lhs) - 2))]
-    return sorted(whole, key=lambda c: (c.lhs, c.rhs))
-
-
 def compressed(table: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """The distinct rows as text, with their count n. All mining reads this."""
     return table.select(*[as_text(F.col(a)).alias(a) for a in attributes]).groupBy(*attributes).agg(F.count("*").alias("n"))
@@ -113,11 +100,6 @@ def classes(values: DataFrame) -> DataFrame:
     return values.groupBy("candidate", "x").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("a").alias("low"), F.max("a").alias("high"))
 
 
-def inexact(values: DataFrame) -> DataFrame:
-    """(candidate) of the candidates that aren't dependencies: some class has two values."""
-    return values.groupBy("candidate", "x").agg(F.count("*").alias("values")).where("values > 1").select("candidate").distinct()
-
-
 def patterns(grouped: DataFrame) -> DataFrame:
     """(candidate, pattern, support, hits, low, high): classes summed over all patterns of constants with a
     wildcard or more, which is NULL in pattern. This is GROUPING SETS over the classes of every candidate at once."""

@@ -32,6 +32,12 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Delete what's under a path when the Python process ends."""
+    _written.append((spark, path))
+    return path
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:

@@ -1,12 +1,13 @@
 """The miner against an enumeration of the definitions, on small random tables."""
 
+import functools
 import random
 from itertools import combinations, product
 
 import pytest
 
 from ferrule.operators import mining
-from ferrule.plans import lattice
+from ferrule.plans import jobs, lattice, partitions
 
 A = ["a", "b", "c"]
 
@@ -80,21 +81,60 @@ def test_empty_table(spark):
     assert mining.mine(df, A, 1).collect() == []
 
 
-def test_a_wide_table_is_mined_level_by_level(spark):
-    """Left sides that determine an attribute aren't grown, and the plan has no part for each candidate."""
+def wide(spark, columns, rows=300):
     rng = random.Random(7)
-    names = [f"c{k:02}" for k in range(12)]
-    drawn = [rng.randrange(60) for _ in range(300)]
-    rows = [tuple(str(v % (2 + k) if k % 3 else v // 7) for k in range(12)) for v in drawn]
-    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names))
-    assert mining.mine(df, names, 60, 0.9, 4).count() >= 0
-    small, large = (len(lattice.unfolded(lattice.compressed(df, names), lattice.candidates(names, k))._jdf.queryExecution().optimizedPlan().treeString().splitlines()) for k in (1, 4))
-    assert small == large
-
-
-def test_next_level_needs_all_subsets():
-    at = [lattice.Candidate(x, "z") for x in (("a",), ("b",), ("c",))]
-    two = lattice.next_level(at)
-    assert [c.lhs for c in two] == [("a", "b"), ("a", "c"), ("b", "c")]
-    assert lattice.next_level(two[:2]) == []
-    assert [c.lhs for c in lattice.next_level(two)] == [("a", "b", "c")]
+    names = [f"c{k:02}" for k in range(columns)]
+    drawn = [rng.randrange(60) for _ in range(rows)]
+    made = [tuple(str((v + rng.randrange(2) * (k % 4 == 1)) % (2 + k) if k % 3 else v // 7) for k in range(columns)) for v in drawn]
+    return spark.createDataFrame(made, ", ".join(f"{c} string" for c in names)), names
+
+
+def told(rules):
+    return sorted(str((tuple((i.attr, i.value) for i in r.lhs), r.rhs_attr, r.rhs_value, r.kind, r.support, r.hits)) for r in rules.collect())
+
+
+@pytest.mark.parametrize(("support", "confidence"), [(60, 0.9), (30, 0.5), (2, 1.0)])
+def test_a_wide_table_has_the_rules_of_all_candidates(spark, support, confidence):
+    """Partitions, grown patterns and the border beyond them, against classes of every candidate with all patterns."""
+    df, names = wide(spark, 6)
+    all_rules = [f(df, names, 3, support, c) for f, c in ((mining.variable_rules, confidence), (mining.constant_rules, confidence))]
+    want = sorted(x for r in all_rules for x in told(mining.minimal(r)))
+    got = told(mining.mine(df, names, support, confidence, 3))
+    assert got == want and len(got) > 5
+
+
+def test_rules_within_sets(spark):
+    """Sub-tables mined at once have the rules of each mined alone."""
+    df, names = wide(spark, 7)
+    sets = [names[:3], names[2:6], [names[0], names[5], names[6]], names[:3]]
+    got = jobs.mine_sub_tables(df, sets, 40, 0.6, 2)
+    for k, s in enumerate(sets):
+        assert told(got.where(got.set_id == k + 1)) == told(mining.mine(df.select(*s), s, 40, 0.6, 2))
+    small, large = (mining.mine(df, names, 40, 0.6, 2, within=x)._jdf.queryExecution().optimizedPlan().treeString().count("\n") for x in (sets[:1], sets * 20))
+    assert large <= small * 1.2 + 20
+
+
+def test_frequent_patterns_bound_the_rows_of_a_round(spark):
+    """What a round keeps are patterns of frequent constants, whatever the masks."""
+    df, names = wide(spark, 6)
+    counts = lattice.compressed(df, names)
+    for support in (20, 150):
+        known = partitions.coded(counts, names, support)
+        parts = partitions.levels(known, 4)
+        frequent = functools.reduce(lambda x, y: x.unionByName(y), [p.where(p.n >= support) for p in parts]).selectExpr("set AS mask", "values AS codes", "n AS support").cache()
+        asked = spark.createDataFrame([(r.set, (1 << 6) - 1 - r.set) for r in parts[2].select("set").distinct().collect()], "of long, open long")
+        dirty = partitions.mistakes(parts[2], parts[3], asked, 6)
+        found = partitions.pattern_mistakes(dirty, frequent, 6, 3).collect()
+        itemsets = {(r.mask, tuple(r.codes)) for r in frequent.collect()}
+        assert all((r.mask, tuple(r.codes)) in itemsets and r.support >= support for r in found)
+        bare = {(r.set, r.rhs, r.mask, tuple(r.codes)) for r in found}
+        assert len(bare) == len(found)
+
+
+def test_candidates_need_all_smaller_ones():
+    dirty = {(0b001, 3), (0b010, 3), (0b100, 3)}
+    two = mining._open_next(dirty, 4, None)
+    assert two == {(0b011, 3), (0b101, 3), (0b110, 3)}
+    assert mining._open_next(two - {(0b101, 3)}, 4, None) == set()
+    assert mining._open_next(two, 4, None) == {(0b111, 3)}
+    assert mining._open_next(two, 4, [0b1011]) == set()
