@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ferrule.catalog_sql import GEO, ORACLE_SQL, ORDER_GEO, PARTS, RULE_TEXTS, SETS, TRUTH_SETS, WIDE
 from ferrule.functions.text import row_sentence, short_number, weighted_sentence
 from ferrule.functions.vectors import POOLINGS, chunk_average, cosine, dot, euclidean, gaussian_kernel, manhattan, normalised, pooled
-from ferrule.operators import batches, clustering, comparison, correlation, evaluation, mining, profiling, retrieval, sampling, verification
+from ferrule.operators import batches, clustering, comparison, correlation, evaluation, mining, phrases, profiling, retrieval, sampling, verification
 from ferrule.operators.rules import COLUMNS, constant_rule_text, presented, rule_text
 from ferrule.plans import jobs
 from ferrule.plans.lattice import compressed
@@ -234,6 +234,14 @@ def label_batches(spark, folder):
     return batches.label_batches(rows, 16, 4)
 
 
+@query
+def phrase_tokens(spark, folder):
+    """Documents by words, with the runs of two and three words that thirty documents or more share as phrases."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), phrases.words(F.col("text")).alias("tokens"))
+    known = phrases.frequent_phrases(docs.withColumn("row", F.monotonically_increasing_id()), 3, 30)
+    return phrases.phrase_tokens(docs, known, 3).select("id", F.size("tokens").alias("n_tokens"), "n_phrases", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
 # checking rules
 
 
