@@ -29,7 +29,7 @@ MARKED = 10_000
 @dataclass
 class Coded:
     rows: DataFrame  # (values, n): distinct rows; values in the order of attributes
-    names: DataFrame  # (attr, code, value): of the frequent values; attr is a place in attributes
+    names: DataFrame  # (attr, code, value) of all values; attr is a place in attributes
     attributes: list[str]
     total: int
 
@@ -74,7 +74,8 @@ def coded(counts: DataFrame, attributes: Sequence[str], least_support: int) -> C
         return F.when(often, _hash(value, seed).bitwiseOR(F.lit(1).cast("long"))).otherwise(_hash(value, seed))
 
     rows = counts.select(F.array(*[code(F.col(f"`{a}`"), k) for k, a in enumerate(ordered)]).alias("values"), "n")
-    names = frequent.select("attr", _hash(F.col("value"), seed).bitwiseOR(F.lit(1).cast("long")).alias("code"), "value")
+    often = (F.col("n") >= least_support) | F.col("attr").isin([k for k in sizes if k not in marked])
+    names = values.select("attr", F.when(often, _hash(F.col("value"), seed).bitwiseOR(F.lit(1).cast("long"))).otherwise(_hash(F.col("value"), seed)).alias("code"), "value")
     return Coded(written(rows, "coded"), names, ordered, int(spread.total))
 
 
