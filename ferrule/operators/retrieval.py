@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.vectors import SIMILARITIES
 
-#: Queries (64 numbers each: 50 MB) up to which they are broadcast whole; more are searched block by block.
+#: Queries (64 numbers each: 50 MB) up to which they are broadcast whole; beyond, Spark joins the two tables as it can.
 BROADCAST_QUERIES = 100_000
 
 
@@ -39,16 +39,6 @@ def mined_pairs(vectors: DataFrame, k: int, most: int, similarity: str = "cosine
     return pairs.groupBy("a", "b").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "a", "b").limit(most)
 
 
-def neighbours(vectors: DataFrame, least: float, similarity: str = "cosine") -> DataFrame:
-    """(a, b, score): all pairs a <> b of similarity least or more, by blocks of the vectors as queries."""
-    score = SIMILARITIES[similarity]
-    asked = vectors.select(F.col("id").alias("a"), F.col("vector").alias("of_a"))
-    if vectors.count() <= BROADCAST_QUERIES:
-        asked = F.broadcast(asked)
-    met = vectors.select(F.col("id").alias("b"), F.col("vector").alias("of_b")).join(asked, F.col("a") != F.col("b"))
-    return met.withColumn("score", score(F.col("of_a"), F.col("of_b"))).where(F.col("score") >= least).select("a", "b", "score")
-
-
 def similarity_histogram(pairs: DataFrame, width: float = 0.02) -> DataFrame:
     """(bin, n) of scores."""
     return pairs.groupBy(F.floor(F.col("score") / width).alias("bin")).agg(F.count("*").alias("n"))
