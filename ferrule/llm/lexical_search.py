@@ -38,14 +38,15 @@ STEP = -(-1_000_000 // 255)
 #: Documents and cells (terms by documents) that are bounded in one go, and bytes of text cut into terms.
 ROWS, CELLS, TEXT = 1024, 1 << 25, 1 << 20
 
-_SEPARATOR = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
-def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all terms of texts that lie one after the other, and the text of each: longest runs of ASCII
-    letters and digits and of bytes above 127, A-Z as a-z, never across the starts of texts (at, with the end)."""
-    at = at - at[0]
-    inside = ~_SEPARATOR[data]
+def runs(separators: bytes, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs without separators in texts that lie one after the other, never across
+    the starts of texts (at, from 0, with the end)."""
+    cut = np.zeros(256, bool)
+    cut[list(separators)] = True
+    inside = ~cut[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -53,7 +54,14 @@ def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
     first[cuts] |= inside[cuts]
     last[cuts - 1] |= inside[cuts - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all terms of texts that lie one after the other, and the text of each: longest runs of ASCII
+    letters and digits and of bytes above 127, A-Z as a-z."""
+    at = at - at[0]
+    starts, ends = runs(_SEPARATORS, data, at)
     return words.hashes(data, starts, ends), np.searchsorted(at, starts, "right") - 1
 
 
