@@ -430,6 +430,12 @@ def lasso_sets(spark, folder):
     return sets(spark, found).select(F.array_join("attrs", ",").alias("attrs"))
 
 
+@query
+def kernel_lasso_sets(spark, folder):
+    found = correlation.kernel_lasso_sets(table(spark, folder, "lineitem"), LINES, 0.0002, 3)
+    return sets(spark, found).select(F.array_join("attrs", ",").alias("attrs"))
+
+
 @query
 def forest_sets(spark, folder):
     found = correlation.forest_sets(table(spark, folder, "lineitem"), LINES, 3)

@@ -378,3 +378,28 @@ ORACLE_SQL["cross_information"] = f"""WITH c AS ({_SORTED} {_sets(SETS)}), r AS
 m AS (SELECT c.attrs AS s, r.attrs AS p, list_filter(r.attrs, lambda x: list_contains(c.attrs, x)) AS shared, list_filter(r.attrs, lambda x: NOT list_contains(c.attrs, x)) AS rest FROM c, r),
 subs AS (SELECT shared, list_filter(rest, lambda x, i: (bits >> (i - 1)) % 2 = 1) AS more FROM (SELECT shared, rest, unnest(range(0, CAST(2 ** len(rest) AS BIGINT))) AS bits FROM m WHERE len(p) >= len(s)) b)
 SELECT array_to_string(p, ',') AS attrs FROM m WHERE len(p) < len(s) UNION SELECT array_to_string(list_sort(list_concat(shared, more)), ',') FROM subs WHERE len(shared) + len(more) = 2"""
+
+
+def _lasso(moments: str, alpha: float, k: int) -> str:
+    """Sets of a lasso for each of the four columns, from one row m of covariances v_ij: weights improved in turn, in rounds."""
+    n = range(len(_LINES))
+    at = lambda i, j: f"v_{min(i, j)}{max(i, j)}"
+    out = [moments]
+    for t in n:
+        inside = "r"
+        others = [i for i in n if i != t]
+        for j in others:
+            left = f"({at(t, j)} - " + " - ".join(f"w{i} * {at(i, j)}" for i in others if i != j) + ")"
+            inside = f"(SELECT * REPLACE (sign({left}) * greatest(abs({left}) - {alpha}, 0) / {at(j, j)} AS w{j}) FROM {inside})"
+        step = inside.replace("FROM r)", "FROM r, m WHERE round_ < 400)")
+        out.append(f"r AS (SELECT 0 AS round_, {', '.join(f'0.0::DOUBLE AS w{i}' for i in others)} UNION ALL SELECT round_ + 1, {', '.join(f'w{i}' for i in others)} FROM {step} s)".replace("r AS", f"r{t} AS", 1).replace("FROM r, m", f"FROM r{t}, m"))
+        each = _all([f"SELECT '{_LINES[i]}' AS a, abs(w{i}) AS w FROM r{t} WHERE round_ = 400" for i in others])
+        out.append(f"t{t} AS (SELECT concat_ws(',', (SELECT string_agg(a, ',' ORDER BY w DESC, a) FROM (SELECT * FROM ({each}) e WHERE w > 0 ORDER BY w DESC, a LIMIT {k - 1}) f), '{_LINES[t]}') AS attrs)")
+    return "WITH RECURSIVE " + ", ".join(out) + " " + _all([f"SELECT attrs FROM t{t}" for t in n])
+
+
+_UPPER = [(i, j) for i in range(len(_LINES)) for j in range(i, len(_LINES))]
+_COVARIANCES = "m AS (SELECT " + ", ".join(f"covar_pop({_LINES[i]}, {_LINES[j]}) AS v_{i}{j}" for i, j in _UPPER) + " FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _LINES) + ")"
+_KERNEL = f"k AS ({_all(['SELECT ' + ', '.join(f'exp(-0.15 * (2 - 2 * corr({a}, {b}))) AS k{j}' for j, b in enumerate(_LINES)) + ' FROM lineitem' for a in _LINES])}), m AS (SELECT " + ", ".join(f"covar_pop(k{i}, k{j}) AS v_{i}{j}" for i, j in _UPPER) + " FROM k)"
+ORACLE_SQL["lasso_sets"] = _lasso(_COVARIANCES, 0.01, 3)
+ORACLE_SQL["kernel_lasso_sets"] = _lasso(_KERNEL, 0.0002, 3)

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,13 +67,18 @@ def principal_components(table: DataFrame, columns: Sequence[str], k: int) -> np
     return out * np.where(signs == 0, 1, signs)[:, None]
 
 
+def _kernel(cov: np.ndarray, gamma: float) -> np.ndarray:
+    """The Gaussian kernel between standardised columns; a constant one counts as uncorrelated with all, itself too."""
+    sd = np.sqrt(np.diag(cov))
+    sd = np.where(sd == 0, 1, sd)
+    return np.exp(-gamma * (2 - 2 * cov / np.outer(sd, sd)))
+
+
 def kernel_components(table: DataFrame, columns: Sequence[str], k: int, gamma: float = 0.5) -> np.ndarray:
     """k unit vectors of the centred Gaussian kernel between standardised columns. With r the correlation of
     two columns, their squared distance a row is 2 - 2r, so one pass gives the kernel."""
     _, _, cov = _moments(table, columns)
-    sd = np.sqrt(np.diag(cov))
-    r = cov / np.where(sd == 0, 1, sd)[:, None] / np.where(sd == 0, 1, sd)[None, :]
-    kernel = np.exp(-gamma * (2 - 2 * r))
+    kernel = _kernel(cov, gamma)
     centre = np.eye(len(columns)) - 1 / len(columns)
     values, vectors = np.linalg.eigh(centre @ kernel @ centre)
     out = vectors[:, np.argsort(-values, kind="stable")[:k]].T
@@ -129,18 +134,55 @@ def _assembled(table: DataFrame, columns: Sequence[str], target: str) -> tuple[D
     return VectorAssembler(inputCols=others, outputCol="features").transform(rows), others
 
 
-def lasso_sets(table: DataFrame, columns: Sequence[str], alpha: float = 0.1, k: int | None = None) -> list[list[str]]:
-    """For each column the predictors with a weight in a lasso for it (or the k - 1 strongest), and itself."""
+def lasso_weights(cov: np.ndarray, alpha: float, rounds: int = 10_000, settled: float = 1e-12) -> np.ndarray:
+    """Row t: the weights of all columns in a lasso for column t (its own is 0), from the columns' covariances over n rows. The loss is
+    half the mean squared error plus alpha times the sum of the weights' sizes, with a free intercept. Weights are improved in
+    turn, for all targets at once, until no target's explained variance moves by more than a share of `settled`."""
+    k = len(cov)
+    weights = np.zeros((k, k))
+    scale = np.diag(cov)
+    for _ in range(rounds):
+        moved = 0.0
+        for j in range(k):
+            if scale[j] <= 0:  # a constant column explains nothing
+                continue
+            left = cov[:, j] - weights @ cov[:, j] + weights[:, j] * scale[j]
+            now = np.sign(left) * np.maximum(np.abs(left) - alpha, 0) / scale[j]
+            now[j] = 0
+            moved = max(moved, float(((now - weights[:, j]) ** 2 * scale[j] / np.where(scale > 0, scale, 1)).max()))
+            weights[:, j] = now
+        if moved <= settled**2:
+            break
+    return weights
+
+
+def _strongest(weights: np.ndarray, columns: Sequence[str], k: int | None) -> list[list[str]]:
     out = []
-    for target in columns:
-        rows, others = _assembled(table, columns, target)
-        fit = LinearRegression(labelCol=target, elasticNetParam=1.0, regParam=alpha, standardization=False).fit(rows)
-        order = sorted(range(len(others)), key=lambda i: (-abs(fit.coefficients[i]), others[i]))
-        chosen = [others[i] for i in order if fit.coefficients[i] != 0][: k - 1 if k else None]
-        out.append([*chosen, target])
+    for t, row in enumerate(weights):
+        order = sorted(np.flatnonzero(row), key=lambda i: (-abs(row[i]), columns[i]))
+        out.append([*(columns[i] for i in order[: k - 1 if k else None]), columns[t]])
     return out
 
 
+def _whole_rows(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return table.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+
+
+def lasso_sets(table: DataFrame, columns: Sequence[str], alpha: float = 0.1, k: int | None = None) -> list[list[str]]:
+    """For each column the predictors with a weight in a lasso for it (or the k - 1 strongest), and itself. One pass over the rows
+    without NULLs gives the covariances, from which all targets are fitted."""
+    n, _, cov = _moments(_whole_rows(table, columns), columns)
+    return _strongest(lasso_weights(cov * ((n - 1) / n) if n else cov, alpha), columns, k)
+
+
+def kernel_lasso_sets(table: DataFrame, columns: Sequence[str], alpha: float = 0.1, k: int | None = None, gamma: float = 0.15) -> list[list[str]]:
+    """As `lasso_sets`, of the Gaussian kernel between standardised columns, whose rows and columns are the table's columns.
+    Their squared distance a row is 2 - 2r, so the same pass gives the kernel."""
+    _, _, cov = _moments(_whole_rows(table, columns), columns)
+    kernel = _kernel(cov, gamma)
+    return _strongest(lasso_weights(np.atleast_2d(np.cov(kernel, rowvar=False, bias=True)), alpha), columns, k)
+
+
 def forest_sets(table: DataFrame, columns: Sequence[str], k: int, seed: int = 0) -> list[list[str]]:
     """For each column the k - 1 most important predictors in a random forest for it, and itself."""
     out = []

@@ -8,7 +8,6 @@ import pytest
 from ferrule.catalog import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"lasso_sets", "forest_sets"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def values(rows, columns):
     return sorted(repr([r[c] for c in columns]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     rows = [r.asDict() for r in df.collect()]
