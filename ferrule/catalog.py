@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.catalog_sql import GEO, ORACLE_SQL, ORDER_GEO, PARTS, RULE_TEXTS, SETS, TRUTH_SETS, WIDE
+from ferrule.catalog_sql import GEO, ORACLE_SQL, ORDER_GEO, PARTS, RULE_TEXTS, WIDE
 from ferrule.functions.text import row_sentence, short_number, weighted_sentence
 from ferrule.functions.vectors import POOLINGS, chunk_average, cosine, dot, euclidean, gaussian_kernel, manhattan, normalised, pooled
 from ferrule.operators import batches, clustering, comparison, correlation, evaluation, mining, phrases, profiling, retrieval, sampling, verification
@@ -343,19 +343,38 @@ def sets(spark: SparkSession, lists) -> DataFrame:
     return spark.createDataFrame([(list(x),) for x in lists], "attrs array<string>")
 
 
+def brand_sets(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+    """The brands of each order, or of those of one status: many sets, of few members, all of them common."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if status:
+        lines = lines.join(table(spark, folder, "orders").where(F.col("o_orderstatus") == status), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("attrs")).select("attrs")
+
+
+def mined_sets(rules_: DataFrame) -> DataFrame:
+    """The attributes of each mined rule."""
+    return rules_.select(F.array_sort(F.array_append(F.transform("lhs", lambda i: i.attr), F.col("rhs_attr"))).alias("attrs"))
+
+
 @query
 def max_sets(spark, folder):
-    return comparison.maximal_sets(sets(spark, SETS)).select(F.array_join("attrs", ",").alias("attrs"))
+    return comparison.maximal_sets(brand_sets(spark, folder)).select(F.array_join("attrs", ",").alias("attrs"))
 
 
 @query
 def uncovered_sets(spark, folder):
-    return comparison.uncovered_sets(sets(spark, TRUTH_SETS), sets(spark, SETS)).select(F.array_join("attrs", ",").alias("attrs"))
+    """Brands of fulfilled orders that no open order has together."""
+    return comparison.uncovered_sets(brand_sets(spark, folder, "F"), brand_sets(spark, folder, "O")).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+@query
+def recall_report(spark, folder):
+    return comparison.recall_report(brand_sets(spark, folder, "F"), brand_sets(spark, folder, "O"))
 
 
 @query
 def attribute_counts(spark, folder):
-    return comparison.attribute_counts(sets(spark, SETS))
+    return comparison.attribute_counts(brand_sets(spark, folder))
 
 
 # rows as text and numbers
@@ -713,9 +732,13 @@ def row_differences(spark, folder):
 
 @query
 def set_distances(spark, folder):
-    return comparison.distance_sums(sets(spark, SETS), sorted({a for s in SETS for a in s})).select(F.array_join("attrs", ",").alias("attrs"), F.col("total").cast("long").alias("total"))
+    """Attribute sets of the rules mined of customers, against each other."""
+    found = mined_sets(two_rule_sets(spark, folder)[0])
+    return comparison.distance_sums(found, GEO).select(F.array_join("attrs", ",").alias("attrs"), F.col("total").cast("long").alias("total"))
 
 
 @query
 def cross_information(spark, folder):
-    return sets(spark, correlation.grown_sets(SETS, TRUTH_SETS, 2)).select(F.array_join("attrs", ",").alias("attrs"))
+    """Attribute sets of rules, at most 2^4 of them, filled up from those of rules of more support."""
+    ours, related = ([r.attrs for r in mined_sets(m).distinct().collect()] for m in two_rule_sets(spark, folder))
+    return sets(spark, correlation.grown_sets(ours, related, 3)).select(F.array_join("attrs", ",").alias("attrs"))

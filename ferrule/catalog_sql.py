@@ -9,9 +9,6 @@ ORDER_GEO = ["o_orderstatus", "o_orderpriority", "c_mktsegment", "r_name"]
 PARTS = ["p_brand", "p_type", "p_size", "p_name"]
 WIDE = ["n_name", "n_nationkey", "r_name", "n_regionkey", "c_mktsegment", "c_nationkey"]
 
-SETS = (("b", "a"), ("a", "b", "c"), ("d",), ("e", "d"), ("d", "e", "d"), ("c", "f"), ("f", "g", "h", "c"))
-TRUTH_SETS = (("a", "c"), ("a", "d"), ("g", "h"), ("h", "a", "g"), ("e",))
-
 #: (left side, right side): attributes with values, None is a wildcard.
 RULES = (
     ((("o_orderstatus", "F"),), ("o_orderpriority", "1-URGENT")),
@@ -123,11 +120,20 @@ per AS (SELECT rule_id, rv, key, sum(n) AS n, max(n) AS most, sum(CASE WHEN rhs
 measures AS (SELECT rule_id, CAST(sum(n) AS BIGINT) AS support, CAST(sum(CASE WHEN rv IS NULL THEN most ELSE same END) AS BIGINT) AS hits FROM per GROUP BY rule_id)"""
 
 
-def _sets(lists) -> str:
-    return "(VALUES " + ", ".join(f"([{', '.join(repr(a) for a in x)}])" for x in lists) + ") s(attrs)"
+def _brands(name: str, status: str | None = None) -> str:
+    where = f" WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = '{status}')" if status else ""
+    return f"{name} AS (SELECT list_sort(list(DISTINCT p_brand)) AS attrs FROM lineitem JOIN part ON l_partkey = p_partkey{where} GROUP BY l_orderkey)"
+
+
+# a set as bits, so that all pairs can be compared
+_BITS = "bits AS (SELECT p_brand, 1::HUGEINT << (row_number() OVER (ORDER BY p_brand) - 1)::INTEGER AS bit FROM (SELECT DISTINCT p_brand FROM part) b)"
+
+
+def _coded(name: str, of: str) -> str:
+    return f"{name} AS (SELECT attrs, sum(bit)::HUGEINT AS code FROM (SELECT attrs, unnest(attrs) AS p_brand FROM (SELECT DISTINCT attrs FROM {of}) d) u JOIN bits USING (p_brand) GROUP BY attrs)"
 
 
-_SORTED = "SELECT DISTINCT list_sort(list_distinct(attrs)) AS attrs FROM "
+_UNCOVERED = f"{_BITS}, {_brands('f', 'F')}, {_brands('o', 'O')}, {_coded('t', 'f')}, {_coded('h', 'o')}, missed AS (SELECT attrs FROM t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.code & t.code = t.code))"
 _PAIRS = "pairs AS (SELECT a.vec_id AS id, a.embedding::DOUBLE[] AS u, b.embedding::DOUBLE[] AS v, a.label AS label, b.label AS other_label FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _DOT = "list_sum(list_transform(list_zip(u, v), lambda p: p[1] * p[2]))"
 _COSINE = f"({_DOT} / (sqrt(list_sum(list_transform(u, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))))"
@@ -229,9 +235,10 @@ SELECT m.rule_id, tid FROM m JOIN best b ON m.rule_id = b.rule_id AND m.key = b.
     + ") || '] => ' || rhs || ', (' || concat_ws(', ', "
     + ", ".join(f"p_{a}" for a in sorted(GEO))
     + f") || ' || ' || rv || ')' AS rule_id, {_rule(GEO)} AS rule FROM m",
-    "max_sets": f"WITH s AS ({_SORTED}{_sets(SETS)}), m AS (SELECT attrs FROM s WHERE len(attrs) > 1) SELECT array_to_string(attrs, ',') AS attrs FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE len(b.attrs) > len(a.attrs) AND list_has_all(b.attrs, a.attrs))",
-    "uncovered_sets": f"WITH t AS ({_SORTED}{_sets(TRUTH_SETS)}), f AS ({_SORTED}{_sets(SETS)}) SELECT array_to_string(attrs, ',') AS attrs FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE list_has_all(f.attrs, t.attrs))",
-    "attribute_counts": f"SELECT attr, count(*) AS n FROM (SELECT unnest(attrs) AS attr FROM {_sets(SETS)}) u GROUP BY attr",
+    "max_sets": f"WITH {_BITS}, {_brands('s')}, {_coded('c', 's')}, m AS (SELECT * FROM c WHERE len(attrs) > 1) SELECT array_to_string(attrs, ',') AS attrs FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE len(b.attrs) > len(a.attrs) AND a.code & b.code = a.code)",
+    "uncovered_sets": f"WITH {_UNCOVERED} SELECT array_to_string(attrs, ',') AS attrs FROM missed",
+    "recall_report": f"WITH {_UNCOVERED} SELECT attr, n_truth, coalesce(n, 0) AS n_uncovered FROM (SELECT attr, count(*) AS n_truth FROM (SELECT unnest(attrs) AS attr FROM t) u GROUP BY attr) e LEFT JOIN (SELECT attr, count(*) AS n FROM (SELECT unnest(attrs) AS attr FROM missed) v GROUP BY attr) g USING (attr)",
+    "attribute_counts": f"WITH {_brands('s')} SELECT attr, count(*) AS n FROM (SELECT unnest(attrs) AS attr FROM s) u GROUP BY attr",
     "row_sentence_of_parts": f"WITH {_PARTS} SELECT tid, concat_ws(' ', {', '.join(map(_t, PARTS))}) AS sentence FROM parts",
     "weighted_row_sentence": "SELECT p_partkey AS tid, concat_ws(' ', p_brand, p_brand, p_type) AS sentence FROM part",
     "sub_table": r"SELECT l_orderkey, l_linenumber, regexp_replace(printf('%.2f', l_discount), '\.?0+$', '') AS l_discount, regexp_replace(printf('%.2f', l_quantity), '\.?0+$', '') AS l_quantity FROM lineitem",
@@ -373,11 +380,18 @@ ORACLE_SQL["column_tokens"] = f"WITH {_PARTS} " + _all([_tokens("parts", a, a in
 ORACLE_SQL["column_sentences"] = f"WITH {_GEO}, t AS (" + _all([_tokens("geo", a, a in _WHOLE) for a in GEO]) + ") SELECT attr, string_agg(token, ' ' ORDER BY tid) AS sentence FROM t GROUP BY attr"
 ORACLE_SQL["value_codes"] = f"WITH {_PARTS} SELECT attr, value, CAST(row_number() OVER (PARTITION BY attr ORDER BY value) AS INTEGER) AS code FROM ({_items('parts', PARTS)}) i"
 ORACLE_SQL["row_differences"] = "SELECT o_orderkey AS tid, CASE WHEN o_orderkey % 11 = 0 THEN 'first' ELSE 'both' END AS side FROM orders WHERE o_orderkey % 11 = 0 OR (o_orderkey % 7 = 0 AND o_orderpriority IS NOT NULL)"
-ORACLE_SQL["set_distances"] = f"WITH d AS (SELECT DISTINCT array_to_string(attrs, '') AS letters, array_to_string(attrs, ',') AS attrs FROM {_sets(SETS)}) SELECT a.attrs, CAST(sum(levenshtein(a.letters, b.letters)) AS BIGINT) AS total FROM d a, d b GROUP BY a.attrs"
-ORACLE_SQL["cross_information"] = f"""WITH c AS ({_SORTED} {_sets(SETS)}), r AS ({_SORTED} {_sets(TRUTH_SETS)}),
+
+
+def _attrs_of(rules: str, name: str) -> str:
+    return f"{name} AS (SELECT DISTINCT list_sort(list_append(lhs, rhs)) AS attrs FROM ({_plain(rules)}) p)"
+
+
+_LETTERS = "list_aggregate(list_transform(attrs, lambda a: CASE a " + " ".join(f"WHEN '{a}' THEN '{x}'" for a, x in zip(GEO, "abcd", strict=True)) + " END), 'string_agg', '')"
+ORACLE_SQL["set_distances"] = f"WITH {_TWO_SETS}, {_attrs_of('one', 's')}, d AS (SELECT {_LETTERS} AS letters, array_to_string(attrs, ',') AS attrs FROM s) SELECT a.attrs, CAST(sum(levenshtein(a.letters, b.letters)) AS BIGINT) AS total FROM d a, d b GROUP BY a.attrs"
+ORACLE_SQL["cross_information"] = f"""WITH {_TWO_SETS}, {_attrs_of('one', 'c')}, {_attrs_of('two', 'r')},
 m AS (SELECT c.attrs AS s, r.attrs AS p, list_filter(r.attrs, lambda x: list_contains(c.attrs, x)) AS shared, list_filter(r.attrs, lambda x: NOT list_contains(c.attrs, x)) AS rest FROM c, r),
 subs AS (SELECT shared, list_filter(rest, lambda x, i: (bits >> (i - 1)) % 2 = 1) AS more FROM (SELECT shared, rest, unnest(range(0, CAST(2 ** len(rest) AS BIGINT))) AS bits FROM m WHERE len(p) >= len(s)) b)
-SELECT array_to_string(p, ',') AS attrs FROM m WHERE len(p) < len(s) UNION SELECT array_to_string(list_sort(list_concat(shared, more)), ',') FROM subs WHERE len(shared) + len(more) = 2"""
+SELECT array_to_string(p, ',') AS attrs FROM m WHERE len(p) < len(s) UNION SELECT array_to_string(list_sort(list_concat(shared, more)), ',') FROM subs WHERE len(shared) + len(more) = 3"""
 
 
 def _lasso(moments: str, alpha: float, k: int) -> str:

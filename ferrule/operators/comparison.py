@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import list_distance
-from ferrule.operators.rules import canonical, covers
+from ferrule.functions.text import escaped, list_distance
+from ferrule.operators.rules import canonical
+from ferrule.operators.subsets import contained
+from ferrule.plans.stages import written
 
 _RULE = ["lhs", "rhs_attr", "rhs_value"]
 
@@ -23,19 +25,35 @@ def identical(first: DataFrame, second: DataFrame) -> DataFrame:
     return parts[0].intersect(parts[1])
 
 
+def _said(attr: Column, value: Column) -> Column:
+    """An item as one string, of which different items have different ones."""
+    return F.concat(escaped(attr), F.lit("="), F.coalesce(escaped(value), F.lit("_")))
+
+
 def subsumed(first: DataFrame, second: DataFrame) -> DataFrame:
     """(a_*, b_*, distance): pairs where the first's rule a is as general as the second's b, or more; distance:
-    items that b has more."""
-    same = (F.col("a_rhs_attr") == F.col("b_rhs_attr")) & F.col("a_rhs_value").eqNullSafe(F.col("b_rhs_value"))
-    out = _named(first, "a").join(_named(second, "b"), same & covers(F.col("a_lhs"), F.col("b_lhs")))
+    items that b has more. A rule is the set of its items and its right side; one that may be covered holds, beside each item,
+    its wildcard, so what it covers lies in it."""
+    right = lambda s: F.concat(F.lit("> "), _said(F.col(f"{s}_rhs_attr"), F.col(f"{s}_rhs_value")))
+    own = F.transform("a_lhs", lambda i: _said(i.attr, i.value))
+    open_ = F.flatten(F.transform("b_lhs", lambda i: F.array(_said(i.attr, i.value), _said(i.attr, F.lit(None).cast("string")))))
+    a = _named(first, "a").withColumn("a_members", F.array_sort(F.array_distinct(F.array_append(own, right("a")))))
+    b = _named(second, "b").withColumn("b_members", F.array_sort(F.array_distinct(F.array_append(open_, right("b")))))
+    out = a.join(contained(a, b), "a_members").join(b, "b_members").drop("a_members", "b_members")
     return out.withColumn("distance", F.size("b_lhs") - F.size("a_lhs"))
 
 
 def embedded(first: DataFrame, second: DataFrame) -> DataFrame:
     """(lhs_a, rhs_attr, lhs_b, relation): plain dependencies inside the rules whose left attributes are
     "equal", or where the first's are a "subset"."""
-    plain = lambda r, s: r.select(F.array_sort(F.transform("lhs", lambda i: i.attr)).alias(f"lhs_{s}"), "rhs_attr").distinct()
-    out = plain(first, "a").join(plain(second, "b"), "rhs_attr").where(F.size(F.array_except("lhs_a", "lhs_b")) == 0)
+
+    def plain(rules: DataFrame, s: str) -> DataFrame:
+        out = rules.select(F.array_sort(F.transform("lhs", lambda i: i.attr)).alias(f"lhs_{s}"), F.col("rhs_attr").alias(f"rhs_{s}")).distinct()
+        left = F.transform(f"lhs_{s}", lambda a: F.concat(F.lit("< "), a))
+        return out.withColumn(f"{s}_members", F.array_sort(F.array_distinct(F.array_append(left, F.concat(F.lit("> "), F.col(f"rhs_{s}"))))))
+
+    a, b = plain(first, "a"), plain(second, "b")
+    out = a.join(contained(a, b), "a_members").join(b, "b_members").select("lhs_a", F.col("rhs_a").alias("rhs_attr"), "lhs_b")
     return out.withColumn("relation", F.when(F.col("lhs_a") == F.col("lhs_b"), "equal").otherwise("subset"))
 
 
@@ -48,21 +66,30 @@ def scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("precision", F.when(F.col("n_found") > 0, F.col("n_same") / F.col("n_found"))).withColumn("recall", F.when(F.col("n_truth") > 0, F.col("n_same") / F.col("n_truth")))
 
 
+def _in_order(sets: DataFrame, column: str) -> DataFrame:
+    """Distinct sets (attrs), sorted; NULL members are left out, NULL sets too."""
+    return sets.where(F.col(column).isNotNull()).select(F.array_sort(F.array_distinct(F.array_compact(column))).alias("attrs")).distinct()
+
+
 def maximal_sets(sets: DataFrame, column: str = "attrs") -> DataFrame:
     """Distinct sets of two or more that no larger one contains."""
-    each = sets.select(F.array_sort(F.array_distinct(column)).alias("attrs")).where(F.size("attrs") > 1).distinct()
-    # a set can only lie in one that has its first member
-    larger = each.select(F.col("attrs").alias("larger"), F.explode("attrs").alias("first"))
-    inside = (F.col("attrs")[0] == F.col("first")) & (F.size("larger") > F.size("attrs")) & (F.size(F.array_except("attrs", "larger")) == 0)
-    return each.join(larger, inside, "left_anti")
+    each = written(_in_order(sets, column).where(F.size("attrs") > 1), "sets")
+    inside = contained(each.withColumnRenamed("attrs", "a_members"), each.withColumnRenamed("attrs", "b_members"), proper=True)
+    return each.join(inside.select(F.col("a_members").alias("attrs")), "attrs", "left_anti")
 
 
 def uncovered_sets(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Sets of truth that no set of found contains."""
-    each = truth.select(F.array_sort(F.array_distinct("attrs")).alias("attrs")).distinct()
-    held = found.select(F.array_distinct("attrs").alias("held"), F.explode(F.array_distinct("attrs")).alias("first"))
-    inside = (F.col("attrs")[0] == F.col("first")) & (F.size(F.array_except("attrs", "held")) == 0)
-    return each.join(held, inside, "left_anti")
+    """Sets of truth that no set of found contains; an empty one is in any."""
+    each = _in_order(truth, "attrs")
+    inside = contained(each.withColumnRenamed("attrs", "a_members"), _in_order(found, "attrs").withColumnRenamed("attrs", "b_members"))
+    return each.join(inside.select(F.col("a_members").alias("attrs")), "attrs", "left_anti")
+
+
+def recall_report(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(attr, n_truth, n_uncovered): how many sets of truth have each attribute, and how many of those no set of found contains."""
+    every, missed = attribute_counts(_in_order(truth, "attrs")), attribute_counts(uncovered_sets(truth, found))
+    out = every.join(missed.select(F.col("attr").alias("of"), F.col("n").alias("missed")), F.col("attr") == F.col("of"), "left")
+    return out.select("attr", F.col("n").alias("n_truth"), F.coalesce("missed", F.lit(0)).alias("n_uncovered"))
 
 
 def attribute_counts(sets: DataFrame) -> DataFrame:

@@ -1,56 +1,58 @@
 """Checking given rules against a table: support, confidence, violating rows, supplementary samples.
 
-Rules are grouped by their left side's attributes and right side (few signatures, known to the driver);
-within a signature, rules meet rows by an equality join on the constants, never one filter per rule.
+The table is read once. Each row is written once for each kind of rule (which attributes of the left side are constants, which
+wildcards, and the right side), with its values there; then rules of a kind meet rows by an equality join on their constants,
+never one filter per rule. Kinds come in packs, as data, so the plan is the same for any number of rules.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import as_text
 
-#: Signatures of a rule table, each of which makes a branch of the plan; and rules of one signature without
-#: constants, which differ in nothing but their ids and right sides.
-MOST_SIGNATURES, MOST_ALIKE = 200, 200
-
+#: Kinds of rules in one pack, which is an array of a row.
+PACK = 1000
+#: Rules, and characters of their constants, up to which they are broadcast; beyond, they are copied SALTS times and shuffled, so
+#: that rows with one constant are spread.
+BROADCAST_RULES, BROADCAST_CHARACTERS, SALTS = 100_000, 20_000_000, 32
 
-def _signatures(rules: DataFrame) -> list[tuple[tuple[tuple[str, bool], ...], str]]:
-    """Distinct ((attribute, constant?), ...), rhs attribute."""
-    shape = F.transform("lhs", lambda i: F.struct(i.attr.alias("attr"), i.value.isNotNull().alias("constant")))
-    found = rules.select(shape.alias("shape"), "rhs_attr").distinct().limit(MOST_SIGNATURES + 1).collect()
-    if len(found) > MOST_SIGNATURES:
-        raise ValueError(f"more than {MOST_SIGNATURES} kinds of left sides; verify the rules in parts")
-    return sorted((tuple((i.attr, i.constant) for i in r["shape"]), r.rhs_attr) for r in found)
 
-
-def _value_of(attribute: str) -> Column:
-    return F.filter("lhs", lambda i: i.attr == attribute)[0].value
+def _in_kinds(rules: DataFrame, place: Column) -> DataFrame:
+    """Rules with their kind: the places of constants, wildcards and right side among the table's attributes; and their constants."""
+    at = lambda items: F.transform(items, lambda i: place[i.attr])
+    constant, open_ = F.filter("lhs", lambda i: i.value.isNotNull()), F.filter("lhs", lambda i: i.value.isNull())
+    kind = F.struct(at(constant).alias("constants"), at(open_).alias("wildcards"), place[F.col("rhs_attr")].alias("rhs"))
+    return rules.select("rule_id", "rhs_value", kind.alias("kind"), F.transform(constant, lambda i: i.value).alias("values"))
 
 
 def matched(table: DataFrame, rules: DataFrame, tid: str) -> DataFrame:
     """(rule_id, tid, key, rhs, rhs_value): every row that a rule's constants cover. key: the row's values
-    of the wildcard attributes; rhs: its right side; rhs_value: the rule's. rules: rule_id, lhs, rhs_attr, rhs_value."""
-    parts, kind_of = [], {f.name: f.dataType for f in rules.schema.fields}
-    for shape, rhs in _signatures(rules):
-        constants, wildcards = [a for a, c in shape if c], [a for a, c in shape if not c]
-        kind = F.transform("lhs", lambda i: F.struct(i.attr.alias("attr"), i.value.isNotNull().alias("constant")))
-        this = F.array(*[F.struct(F.lit(a).alias("attr"), F.lit(c).alias("constant")) for a, c in shape])
-        mine = rules.where((kind == this) & (F.col("rhs_attr") == rhs))
-        mine = mine.select("rule_id", "rhs_value", *[_value_of(a).alias(f"c{k}") for k, a in enumerate(constants)])
-        rows = table.select(F.col(tid).alias("tid"), as_text(F.col(rhs)).alias("rhs"), F.array(*[as_text(F.col(a)) for a in wildcards]).cast("array<string>").alias("key"), *[as_text(F.col(a)).alias(f"r{k}") for k, a in enumerate(constants)])
-        if constants:
-            met = rows.join(mine, reduce(Column.__and__, [F.col(f"c{k}") == F.col(f"r{k}") for k in range(len(constants))]))
-        else:  # rules of wildcards alone hold all rows; those of a signature are equal but for their ids and right sides
-            ids = [F.struct(F.lit(r.rule_id).cast(kind_of["rule_id"]).alias("rule_id"), F.lit(r.rhs_value).cast(kind_of["rhs_value"]).alias("rhs_value")) for r in mine.limit(MOST_ALIKE + 1).collect()]
-            if len(ids) > MOST_ALIKE:
-                raise ValueError(f"more than {MOST_ALIKE} rules of the same wildcards; verify the rules in parts")
-            met = rows.select("*", F.explode(F.array(*ids)).alias("rule")).select("*", "rule.*")
-        parts.append(met.select("rule_id", "tid", "key", "rhs", "rhs_value"))
-    return reduce(DataFrame.unionByName, parts)
+    of the wildcard attributes; rhs: its right side; rhs_value: the rule's. rules: rule_id, lhs, rhs_attr, rhs_value. Rules of
+    the same items each have their rows. An empty left side, or one of wildcards alone, covers all rows; no rules give no rows."""
+    items = F.array_append(F.transform("lhs", lambda i: i.attr), F.col("rhs_attr"))
+    named = [r.attr for r in rules.select(F.explode(items).alias("attr")).distinct().limit(len(table.columns) + 1).collect()]
+    if unknown := sorted(set(named) - set(table.columns)):
+        raise ValueError(f"rules name attributes that the table lacks: {unknown}")
+    attributes = sorted(named)
+    place = F.create_map(*[x for k, a in enumerate(attributes) for x in (F.lit(a), F.lit(k))]) if attributes else F.create_map().cast("map<string,int>")
+    mine = _in_kinds(rules, place)
+    size = mine.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.array_join("values", ""))), F.lit(0)).alias("characters")).first()
+    few = size.n <= BROADCAST_RULES and size.characters <= BROADCAST_CHARACTERS
+    kinds = mine.select("kind").distinct()
+    packs = kinds.groupBy(F.pmod(F.xxhash64("kind"), F.lit(size.n // PACK + 1)).alias("pack")).agg(F.collect_list("kind").alias("kinds")).select("kinds")
+    cells = F.array(*[as_text(F.col(a)) for a in attributes]).cast("array<string>")
+    each = table.select(F.col(tid).alias("tid"), cells.alias("cells")).join(F.broadcast(packs) if few else packs, F.lit(True)).select("tid", "cells", F.explode("kinds").alias("of"))
+    read = lambda places: F.transform(places, lambda k: F.get("cells", k))
+    rows = each.select("tid", "of", read("of.wildcards").alias("key"), F.get("cells", "of.rhs").alias("rhs"), read("of.constants").alias("found"))
+    same = (F.col("of") == F.col("kind")) & (F.col("found") == F.col("values"))
+    if few:
+        met = rows.join(F.broadcast(mine), same)
+    else:
+        dealt = mine.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int")).join(dealt, same & (F.col("salt") == F.col("copy")))
+    return met.select("rule_id", "tid", "key", "rhs", "rhs_value")
 
 
 def measures(table: DataFrame, rules: DataFrame, tid: str) -> DataFrame:
