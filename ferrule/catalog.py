@@ -737,8 +737,15 @@ def set_distances(spark, folder):
     return comparison.distance_sums(found, GEO).select(F.array_join("attrs", ",").alias("attrs"), F.col("total").cast("long").alias("total"))
 
 
+@query
+def top_sets(spark, folder):
+    pairs = correlation.pearson_pairs(table(spark, folder, "lineitem"), LINES)
+    return correlation.top_sets(pairs, 2).select(F.array_join("attrs", ",").alias("attrs"))
+
+
 @query
 def cross_information(spark, folder):
-    """Attribute sets of rules, at most 2^4 of them, filled up from those of rules of more support."""
-    ours, related = ([r.attrs for r in mined_sets(m).distinct().collect()] for m in two_rule_sets(spark, folder))
-    return sets(spark, correlation.grown_sets(ours, related, 3)).select(F.array_join("attrs", ",").alias("attrs"))
+    """Columns with the one nearest to each, filled up from those with the two nearest."""
+    pairs = correlation.pearson_pairs(table(spark, folder, "lineitem"), LINES)
+    ours, related = ([r.attrs for r in correlation.top_sets(pairs, k).collect()] for k in (1, 2))  # a set a column
+    return sets(spark, correlation.grown_sets(ours, related, 2)).select(F.array_join("attrs", ",").alias("attrs"))

@@ -388,10 +388,17 @@ def _attrs_of(rules: str, name: str) -> str:
 
 _LETTERS = "list_aggregate(list_transform(attrs, lambda a: CASE a " + " ".join(f"WHEN '{a}' THEN '{x}'" for a, x in zip(GEO, "abcd", strict=True)) + " END), 'string_agg', '')"
 ORACLE_SQL["set_distances"] = f"WITH {_TWO_SETS}, {_attrs_of('one', 's')}, d AS (SELECT {_LETTERS} AS letters, array_to_string(attrs, ',') AS attrs FROM s) SELECT a.attrs, CAST(sum(levenshtein(a.letters, b.letters)) AS BIGINT) AS total FROM d a, d b GROUP BY a.attrs"
-ORACLE_SQL["cross_information"] = f"""WITH {_TWO_SETS}, {_attrs_of('one', 'c')}, {_attrs_of('two', 'r')},
+
+
+def _top_sets(k: int) -> str:
+    return f"SELECT DISTINCT list_sort(list_append(list(b), a)) AS attrs FROM (SELECT a, b FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY abs(r) DESC, b) <= {k}) n GROUP BY a"
+
+
+ORACLE_SQL["top_sets"] = f"WITH {_PEARSON} SELECT array_to_string(attrs, ',') AS attrs FROM ({_top_sets(2)}) s"
+ORACLE_SQL["cross_information"] = f"""WITH {_PEARSON}, c AS ({_top_sets(1)}), r AS ({_top_sets(2)}),
 m AS (SELECT c.attrs AS s, r.attrs AS p, list_filter(r.attrs, lambda x: list_contains(c.attrs, x)) AS shared, list_filter(r.attrs, lambda x: NOT list_contains(c.attrs, x)) AS rest FROM c, r),
 subs AS (SELECT shared, list_filter(rest, lambda x, i: (bits >> (i - 1)) % 2 = 1) AS more FROM (SELECT shared, rest, unnest(range(0, CAST(2 ** len(rest) AS BIGINT))) AS bits FROM m WHERE len(p) >= len(s)) b)
-SELECT array_to_string(p, ',') AS attrs FROM m WHERE len(p) < len(s) UNION SELECT array_to_string(list_sort(list_concat(shared, more)), ',') FROM subs WHERE len(shared) + len(more) = 3"""
+SELECT array_to_string(p, ',') AS attrs FROM m WHERE len(p) < len(s) UNION SELECT array_to_string(list_sort(list_concat(shared, more)), ',') FROM subs WHERE len(shared) + len(more) = 2"""
 
 
 def _lasso(moments: str, alpha: float, k: int) -> str:
