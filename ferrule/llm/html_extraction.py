@@ -9,7 +9,9 @@ uses its own best container.
 
 What never counts, wherever it stands: the tags of `SKIPPED`, and elements whose class or id has a word
 of `MARKED`. Fixed values, both; they name menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments.
+scripts, styles and reader comments. A word of `DOUBTFUL` names lists of links as often as main text
+(`related-work`, `widget-content`), so its element goes only if half of its text or more is links; an inline one
+goes from within its block.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from ferrule.llm.shared import keep
 
 SKIPPED = frozenset("head title script style noscript template iframe object svg math canvas nav header footer aside form button select textarea input label dialog menu".split())
-MARKED = frozenset("ad ads advert advertisement advertisements adverts banner promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar related recommended share sharing social comment comments disqus replies footer header masthead login signup subscribe newsletter toolbar pagination widget".split())
+MARKED = frozenset("ad ads advert advertisement advertisements adverts banner promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments disqus replies footer header masthead login signup subscribe newsletter toolbar pagination".split())
+DOUBTFUL = frozenset("related recommended share sharing social widget".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,17 +46,17 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def marked(names: str) -> bool:
+def marked(names: str, by: frozenset[str] = MARKED) -> bool:
     """Whether a class or id says that the element isn't main text; `no-sidebar` doesn't."""
     words = [w.lower() for w in _WORD.findall(names)]
-    return any(w in MARKED and (not k or words[k - 1] not in ("no", "has", "with", "without")) for k, w in enumerate(words))
+    return any(w in by and (not k or words[k - 1] not in ("no", "has", "with", "without")) for k, w in enumerate(words))
 
 
 class Block:
-    __slots__ = ("chain", "linked", "parts")
+    __slots__ = ("chain", "doubts", "linked", "parts", "size")
 
-    def __init__(self, chain: tuple[int, ...]) -> None:
-        self.chain, self.parts, self.linked = chain, [], 0
+    def __init__(self, chain: tuple[int, ...], doubts: tuple[int, ...]) -> None:
+        self.chain, self.doubts, self.parts, self.linked, self.size = chain, doubts, [], 0, 0
 
     def text(self) -> str:
         return " ".join(entities.unescape("".join(self.parts)).split())
@@ -65,7 +68,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
     blocks: list[Block] = []
     paths: list[str] = [""]
     around, opened = [0], Counter()
-    stack: list[tuple[str, int, bool]] = []  # tag, container or -1, skipped
+    doubts: list[int] = []  # doubtful elements around, by number, as deep as containers
+    n_doubts = 0
+    # tag, container or -1, skipped, doubtful block element, and where a doubtful inline one began: block, and its parts, linked letters and letters till then
+    stack: list[tuple[str, int, bool, bool, tuple[Block | None, int, int, int] | None]] = []
     block: Block | None = None
     links = at = 0
     skipped = 0
@@ -77,19 +83,27 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
         if block is None:
             if text.isspace():
                 return
-            block = Block(tuple(reversed(around)))
+            block = Block(tuple(reversed(around)), tuple(doubts))
             blocks.append(block)
         block.parts.append(text)
+        block.size += len(text)
         if links:
             block.linked += len(text)
 
     def leave(n: int) -> None:
         nonlocal skipped, links, block
         while len(stack) > n:
-            tag, number, skips = stack.pop()
+            tag, number, skips, doubtful, began = stack.pop()
             opened[tag] -= 1
             if number >= 0:
                 around.pop()
+            if doubtful:
+                doubts.pop()
+            if began and block is not None:
+                _, n_parts, linked, size = began if began[0] is block else (block, 0, 0, 0)
+                if 2 * (block.linked - linked) >= block.size - size:
+                    del block.parts[n_parts:]
+                    block.linked, block.size = linked, size
             skipped -= skips
             links -= tag == "a"
             if tag not in INLINE:
@@ -103,7 +117,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             continue
         if found[1]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if opened[tag] else None
-            if depth is not None and (tag not in INLINE or all(t in INLINE or t == tag for t, _, _ in stack[depth:])):
+            if depth is not None and (tag not in INLINE or all(t in INLINE or t == tag for t, *_ in stack[depth:])):
                 leave(depth)
             elif tag == "p":
                 block = None
@@ -123,8 +137,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             continue
         names = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(found[3] or "")}
         classes = names.get("class", "")
-        skips = tag in SKIPPED or (tag not in ("html", "body", "main", "article") and marked(f"{classes} {names.get('id', '')}"))
+        called = "" if tag in ("html", "body", "main", "article") else f"{classes} {names.get('id', '')}"
+        skips = tag in SKIPPED or marked(called)
         skipped += skips
+        doubtful, began = not skips and len(doubts) <= DEEPEST and marked(called, DOUBTFUL), None
+        if doubtful and tag in INLINE:
+            doubtful, began = False, (block, len(block.parts), block.linked, block.size) if block else (None, 0, 0, 0)
+        if doubtful:
+            doubts.append(n_doubts)
+            n_doubts += 1
         links += tag == "a"
         number = -1
         if tag not in INLINE and tag not in ("p", "html", "h1", "h2", "h3", "h4", "h5", "h6") and len(around) <= DEEPEST:
@@ -132,10 +153,21 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             label = ".".join([tag, *sorted(re.sub(r"\d+", "N", classes).split())])
             paths.append(f"{paths[around[-1]]}>{label}")
             around.append(number)
-        stack.append((tag, number, bool(skips)))
+        stack.append((tag, number, bool(skips), doubtful, began))
         opened[tag] += 1
     say(page[at:])
-    return blocks, paths
+    return without_link_lists(blocks), paths
+
+
+def without_link_lists(blocks: list[Block]) -> list[Block]:
+    """The blocks, without those in a doubtful element of which half the text or more is links."""
+    sizes, linked = Counter(), Counter()
+    for b in blocks:
+        for d in b.doubts:
+            sizes[d] += b.size
+            linked[d] += b.linked
+    lists = {d for d, n in sizes.items() if 2 * linked[d] >= n}
+    return [b for b in blocks if lists.isdisjoint(b.doubts)] if lists else blocks
 
 
 def best_path(blocks: list[Block], paths: list[str]) -> tuple[str | None, float]:
@@ -143,7 +175,7 @@ def best_path(blocks: list[Block], paths: list[str]) -> tuple[str | None, float]
     around the best one is taken instead of it. Ties: the first in the page."""
     scores: dict[int, float] = {}
     for b in blocks:
-        value = max(0, sum(map(len, b.parts)) - 2 * b.linked)
+        value = max(0, b.size - 2 * b.linked)
         for share, c in zip(SHARES, b.chain, strict=False):
             scores[c] = scores.get(c, 0.0) + share * value
     total = sum(scores.values())
@@ -167,13 +199,9 @@ def main_text(page: str | None, path: str | None = None) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-def host_of(url: str | None) -> str:
-    return re.split(r"[/?#]", (url or "").partition("://")[2], maxsplit=1)[0].lower()
-
-
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cast = [(host_of(url), *best_path(*blocks_of(page or ""))) for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        cast = [(host, *best_path(*blocks_of(page or ""))) for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         cast = [v for v in cast if v[1]]
         yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in cast], pa.string()), pa.array([v[1] for v in cast], pa.string()), pa.array([v[2] for v in cast], pa.float64())], ["host", "path", "vote"])
 
@@ -190,20 +218,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     A null or empty page, and one without text outside what is skipped, has an empty text. Pages whose
     url is null or has no host vote together as one host. Repeated rows vote each, and null keys come
     back as they are; of a host's paths with equal votes the smallest wins. Other columns are not read.
-    An empty table gives an empty one. A hot host's votes are summed before the shuffle; pages are
+    An empty table gives an empty one. Very long pages need memory in proportion to the one page. A hot host's votes are summed before the shuffle; pages are
     shuffled only where hosts are too many to broadcast.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    after = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
+    host = F.coalesce(F.lower(F.regexp_extract(after, "^[^/?#]*", 0)), F.lit(""))
     kind = rows.schema["key"].dataType.simpleString()
     # whole numbers, so that sums don't depend on their order
-    votes = rows.select("url", "html").mapInArrow(_votes, "host string, path string, vote double").withColumn("vote", F.round(F.col("vote") * 1_000_000).cast("long"))
+    votes = rows.select(host.alias("host"), "html").mapInArrow(_votes, "host string, path string, vote double").withColumn("vote", F.round(F.col("vote") * 1_000_000).cast("long"))
     sums = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
     first = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     winners = keep(sums.withColumn("n", F.row_number().over(first)).where("n = 1").select("host", "path"), "winners")
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
-    after = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
-    host = F.lower(F.regexp_extract(after, "^[^/?#]*", 0))
-    at = rows.withColumn("host", F.coalesce(host, F.lit(""))).join(winners, "host", "left")
+    at = rows.withColumn("host", host).join(winners, "host", "left")
     out = at.select("key", "url", "html", "path").mapInArrow(_texts, f"key {kind}, url string, text string, n_chars bigint")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")

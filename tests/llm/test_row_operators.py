@@ -43,10 +43,27 @@ def test_quality_counts(spark):
             data = text.encode()
             ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
             low, high = next((lo, hi) for most, lo, hi in quality_rules.BANDS if len(data) < most)
-            chunks = [data[j : j + 2048] for j in range(0, len(data), 2048) if len(data) - j >= 1024] if len(data) > 2048 else []
+            chunks = [data[j : j + 2048] for j in range(0, len(data) - 2048, 2048)] + [data[-2048:]] if len(data) > 2048 else []
             assert r.kept == (low <= ratio(data) <= high and all(1.5 <= ratio(c) <= 2.3 for c in chunks))
 
 
+def test_last_bytes_are_judged(spark):
+    """A bad stretch at the end, of under half a chunk, sends a text away that is good without it."""
+    rng = random.Random(8)
+    vowels = "the of and to in is that it was for on are as with his they at be this from".split()
+    words_ = vowels + ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(900)]
+    compressed = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+    whole = " ".join(rng.choice(words_) for _ in range(3000)).encode()[: 3 * 2048].decode()
+    bad = "".join(chr(rng.randint(33, 126)) for _ in range(900))
+    texts = [whole, whole + " " + bad]
+    chunks = [texts[1].encode()[k : k + 2048] for k in range(0, len(texts[1]), 2048)]
+    last = texts[1].encode()[-2048:]
+    assert len(chunks[-1]) < 1024 and compressed(last) < 1.5 <= min(map(compressed, chunks[:-1]))
+    low, high = next((lo, hi) for most, lo, hi in quality_rules.BANDS if len(texts[1]) < most)
+    assert low <= compressed(texts[1].encode()) <= high
+    assert [r.kept for r in quality_rules.quality(table(spark, texts)).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_random_and_repetitive_texts_go(spark):
     rng = random.Random(4)
     noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(30)) for _ in range(100))
@@ -123,6 +140,25 @@ def test_extraction_by_hand():
     assert html_extraction.main_text("<div><p>x</p>" + "<div>" * 3000 + "y") == "x\n\ny"
 
 
+def test_doubtful_names_are_judged_by_their_links():
+    page = "<body><div class=q><article><p>First.</p><div class=related-work><p>Earlier work, with <a href=#>one link</a> in it.</p></div><div class=related><ul><li><a href=/a>Read this</a><li><a href=/b>And this</a></ul></div></article></div></body>"
+    assert html_extraction.main_text(page) == "First.\n\nEarlier work, with one link in it."
+    assert html_extraction.main_text('<body><div class="widget-content"><p>All there is.</p></div></body>') == "All there is."
+    assert html_extraction.main_text('<body><p>Text.</p><div class="share-this comments"><p>A comment.</p></div></body>') == "Text."
+    inside = '<body><div class=widget><p>One text that is kept, with <span class="share"><a href=/s>send</a></span> left out.</p></div></body>'
+    assert html_extraction.main_text(inside) == "One text that is kept, with left out."
+    assert html_extraction.main_text("<p><span class=share><a href=/s>send</a></span> all of <b class=social>this <a>x</a></b></p>") == "all of this x"
+    assert html_extraction.main_text("<span class=share><p>A paragraph.</p> and more") == "A paragraph.\n\nand more"
+    assert html_extraction.main_text("<div class=social>" * 3000 + "x") == "x"
+
+
+def test_hosts_beyond_ascii_keep_their_path(spark):
+    usual = "<body><div class=story><p>{}</p></div><div class=more><p>{}</p></div></body>"
+    pages = [(k, "http://\u0130\u03a3.x/1", usual.format("Main text. " * 30, "Other.")) for k in range(4)] + [(9, "http://\u0130\u03a3.x/2", usual.format("Short but main.", "Much longer other text, on this one page. " * 9))]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[9] == "Short but main."
+
+
 def test_host_consensus_wins(spark):
     usual = "<body><div class=story><p>{}</p></div><div class=more><p>{}</p></div></body>"
     pages = [(k, "http://h.x/1", usual.format("Main text. " * 30, "Other.")) for k in range(4)]
