@@ -749,3 +749,42 @@ def cross_information(spark, folder):
     pairs = correlation.pearson_pairs(table(spark, folder, "lineitem"), LINES)
     ours, related = ([r.attrs for r in correlation.top_sets(pairs, k).collect()] for k in (1, 2))  # a set a column
     return sets(spark, correlation.grown_sets(ours, related, 2)).select(F.array_join("attrs", ",").alias("attrs"))
+
+
+# small measures
+
+
+@query
+def schema_statistics(spark, folder):
+    return profiling.schema_statistics(order_geo(spark, folder), ORDER_GEO)
+
+
+@query
+def gap_index(spark, folder):
+    """Where the counts of brands in orders fall first by more than a fortieth."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return profiling.gap_index(profiling.ranked(lines, "p_brand"), 0.025)
+
+
+@query
+def rank_displacement(spark, folder):
+    """The ten brands of most ordered lines, against brands by their parts."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return comparison.rank_displacement(profiling.ranked(lines, "p_brand"), profiling.ranked(table(spark, folder, "part"), "p_brand").where("rank < 15"), 10)
+
+
+@query
+def similarity_correlations(spark, folder):
+    pairs = vector_pairs(spark, folder).withColumn("y", F.col("label") - F.col("other_label"))
+    return evaluation.similarity_correlations(pairs, "vector", "other", "y").select("measure", *[F.round(c, 9).alias(c) for c in ("pearson", "spearman")])
+
+
+@query
+def deletion_noise(spark, folder):
+    noisy = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), phrases.thinned(F.col("text"), F.col("doc_id")).alias("text"))
+    return noisy.select("id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def density_order(spark, folder):
+    return clustering.density_order(vectors(spark, folder).select("id", "vector"), 1.2, 3).select("id", F.round("core_distance", 6).alias("core_distance"))

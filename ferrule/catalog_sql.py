@@ -424,3 +424,27 @@ _COVARIANCES = "m AS (SELECT " + ", ".join(f"covar_pop({_LINES[i]}, {_LINES[j]})
 _KERNEL = f"k AS ({_all(['SELECT ' + ', '.join(f'exp(-0.15 * (2 - 2 * corr({a}, {b}))) AS k{j}' for j, b in enumerate(_LINES)) + ' FROM lineitem' for a in _LINES])}), m AS (SELECT " + ", ".join(f"covar_pop(k{i}, k{j}) AS v_{i}{j}" for i, j in _UPPER) + " FROM k)"
 ORACLE_SQL["lasso_sets"] = _lasso(_COVARIANCES, 0.01, 3)
 ORACLE_SQL["kernel_lasso_sets"] = _lasso(_KERNEL, 0.0002, 3)
+
+
+ORACLE_SQL["schema_statistics"] = f"WITH {_ORDER_GEO} " + _all([f"SELECT '{a}' AS attr, count(DISTINCT {a}) AS n_distinct, count(DISTINCT {a}) BETWEEN 2 AND 10 AS sign, {len(ORDER_GEO) // 2 + 1} AS largest FROM og" for a in ORDER_GEO])
+
+
+def _ranked(name: str, of: str) -> str:
+    return f"{name} AS (SELECT p_brand AS item, count(*) AS value, row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS rank FROM {of} GROUP BY p_brand)"
+
+
+_ORDERED = "lineitem JOIN part ON l_partkey = p_partkey"
+ORACLE_SQL["gap_index"] = f"WITH {_ranked('r', _ORDERED)}, g AS (SELECT rank, value, lead(value) OVER (ORDER BY rank) AS next_ FROM r) SELECT coalesce(min(rank) FILTER (value - next_ > 0.025 * value), count(*)) AS index FROM g"
+ORACLE_SQL["rank_displacement"] = f"WITH {_ranked('f', _ORDERED)}, {_ranked('e', 'part')} SELECT CAST(sum(CASE WHEN e.item IS NULL THEN 11 ELSE abs(f.rank - e.rank) END) AS BIGINT) AS displacement FROM f LEFT JOIN (SELECT * FROM e WHERE rank < 15) e ON f.item = e.item WHERE f.rank < 10"
+_SCORES = {"cosine": _COSINE, "dot": _DOT, "euclidean": "-list_distance(u, v)", "manhattan": "-list_sum(list_transform(list_zip(u, v), lambda p: abs(p[1] - p[2])))"}
+ORACLE_SQL["similarity_correlations"] = f"WITH {_PAIRS}, s AS (" + _all([f"SELECT '{k}' AS measure, round({c}, 6) AS x, label - other_label AS y FROM pairs" for k, c in _SCORES.items()]) + """),
+r AS (SELECT measure, x, y, rank() OVER (PARTITION BY measure ORDER BY x) + (count(*) OVER (PARTITION BY measure, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY measure ORDER BY y) + (count(*) OVER (PARTITION BY measure, y) - 1) / 2 AS ry FROM s)
+SELECT measure, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM r GROUP BY measure"""
+ORACLE_SQL["deletion_noise"] = r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\x0B\f\r ]+'), lambda w: w <> '') AS words FROM documents),
+d AS (SELECT doc_id, text, list_transform(words, lambda w, i: {'h': md5('0|' || doc_id || '|' || i), 'i': i, 'w': w}) AS drawn FROM w),
+k AS (SELECT *, list_filter(drawn, lambda d: d.h[1:8] >= '99999999') AS kept FROM d),
+t AS (SELECT doc_id, CASE WHEN len(drawn) = 0 THEN text WHEN len(kept) = 0 THEN list_sort(drawn)[-1].w ELSE array_to_string(list_transform(kept, lambda d: d.w), ' ') END AS text FROM k)
+SELECT doc_id AS id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM t"""
+ORACLE_SQL["density_order"] = """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT a.id, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.id <> b.id WHERE list_distance(a.v, b.v) <= 1.2)
+SELECT id, round(d, 6) AS core_distance FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) = 3"""

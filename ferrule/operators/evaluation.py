@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.vectors import cosine_distance, euclidean, manhattan
+from ferrule.functions.vectors import cosine, cosine_distance, dot, euclidean, manhattan
 from ferrule.operators.clustering import components
 from ferrule.plans.ranks import beside_one, running
+from ferrule.plans.stages import written
 
 
 def classification_curve(scored: DataFrame) -> DataFrame:
@@ -86,6 +88,15 @@ def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return at.agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"), F.corr("ra", "rb").alias("spearman"))
 
 
+def similarity_correlations(pairs: DataFrame, a: str, b: str, label: str) -> DataFrame:
+    """(measure, pearson, spearman) of a label with four scores of two vectors: cosine, dot and, negative, euclidean and manhattan."""
+    u, v = F.col(a), F.col(b)
+    scores = {"cosine": cosine(u, v), "dot": dot(u, v), "euclidean": -euclidean(u, v), "manhattan": -manhattan(u, v)}
+    at = written(pairs.select(F.col(label).alias("label"), *[F.round(c, 6).alias(k) for k, c in scores.items()]), "scores")
+    each = [correlations(at, k, "label").select(F.lit(k).alias("measure"), "pearson", "spearman") for k in scores]
+    return reduce(DataFrame.unionByName, each)
+
+
 def triplet_accuracy(triplets: DataFrame) -> DataFrame:
     """(cosine, euclidean, manhattan): shares of rows (anchor, positive, negative) whose positive is nearer."""
     nearer = lambda d: F.avg((d(F.col("anchor"), F.col("positive")) < d(F.col("anchor"), F.col("negative"))).cast("double"))

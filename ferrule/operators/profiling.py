@@ -91,6 +91,21 @@ def largest_left_side(columns: Sequence[str], share: float) -> int:
     return int(len(columns) * share) + 1 if len(columns) < 15 else len(columns) // 2
 
 
+def schema_statistics(table: DataFrame, attributes: Sequence[str], share: float = 0.5, most: int = 10) -> DataFrame:
+    """(attr, n_distinct, sign, largest): how many values but NULL each column has, whether they are 2 to most, and
+    how many attributes a left side over these columns may have. One pass, summed before the shuffle."""
+    each = [F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attributes]
+    values = table.select(F.explode(F.array(*each)).alias("i")).select("i.*").distinct()
+    counts = values.groupBy("attr").agg(F.count("value").alias("n_distinct"))
+    return counts.select("attr", "n_distinct", F.col("n_distinct").between(2, most).alias("sign"), F.lit(largest_left_side(attributes, share)).alias("largest"))
+
+
+def ranked(table: DataFrame, column: str) -> DataFrame:
+    """(item, value, rank): a column's values by how often they occur, ranked from 0; ties: the smaller text. NULL is a value."""
+    counts = table.groupBy(as_text(F.col(column)).alias("item")).agg(F.count("*").alias("value"))
+    return running(counts, [F.desc("value"), "item"], {"n": F.lit(1)}).select("item", "value", (F.col("n") - 1).cast("long").alias("rank"))
+
+
 def domain(table: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """(attr, value, code): the values of each attribute, numbered from 1 in order of value."""
     values = item_frequencies(table, attributes).select("attr", "value")
