@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.text import escaped, list_distance
 from ferrule.operators.rules import canonical
-from ferrule.operators.subsets import contained
+from ferrule.operators.subsets import contained, covered
 from ferrule.plans.stages import written
 
 _RULE = ["lhs", "rhs_attr", "rhs_value"]
@@ -74,14 +74,14 @@ def _in_order(sets: DataFrame, column: str) -> DataFrame:
 def maximal_sets(sets: DataFrame, column: str = "attrs") -> DataFrame:
     """Distinct sets of two or more that no larger one contains."""
     each = written(_in_order(sets, column).where(F.size("attrs") > 1), "sets")
-    inside = contained(each.withColumnRenamed("attrs", "a_members"), each.withColumnRenamed("attrs", "b_members"), proper=True)
+    inside = covered(each.withColumnRenamed("attrs", "a_members"), each.withColumnRenamed("attrs", "b_members"), proper=True)
     return each.join(inside.select(F.col("a_members").alias("attrs")), "attrs", "left_anti")
 
 
 def uncovered_sets(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Sets of truth that no set of found contains; an empty one is in any."""
     each = _in_order(truth, "attrs")
-    inside = contained(each.withColumnRenamed("attrs", "a_members"), _in_order(found, "attrs").withColumnRenamed("attrs", "b_members"))
+    inside = covered(each.withColumnRenamed("attrs", "a_members"), _in_order(found, "attrs").withColumnRenamed("attrs", "b_members"))
     return each.join(inside.select(F.col("a_members").alias("attrs")), "attrs", "left_anti")
 
 

@@ -1,13 +1,13 @@
 """Which sets lie in which others, through an inverted index.
 
 A set can only lie in sets that hold its rarest member, so it asks one posting list, that of the member that the fewest
-larger sets hold; what is met there is compared whole. Only lists that are asked are written. A list longer than BLOCK is cut into blocks by
+larger sets hold; what is met there is compared by 64 bits of its members first, then whole. Only lists that are asked are written. A list longer than BLOCK is cut into blocks by
 a hash of the set, and who asks it asks each block: no task holds a hot member's list whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.plans.stages import written
@@ -16,24 +16,41 @@ from ferrule.plans.stages import written
 BLOCK = 50_000
 
 
-def contained(small: DataFrame, large: DataFrame, proper: bool = False) -> DataFrame:
-    """(a_members, b_members): pairs of a different set of small (a_members) and a different set of large (b_members), arrays of strings
-    without repeats and NULLs, sorted, where the first lies in the second; with proper, and isn't the same.
+def _bits(members: str) -> Column:
+    """64 bits, one of them set for each member: a set has all bits of what lies in it."""
+    each = F.transform(members, lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int")))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
 
-    A NULL set lies in none and holds none. An empty one lies in every set (with proper: that isn't empty)."""
+
+def _met(small: DataFrame, large: DataFrame, proper: bool, how: str) -> DataFrame:
     asks, has = small.select("a_members").where("a_members is not null").distinct(), large.select("b_members").where("b_members is not null").distinct()
     counts = has.select(F.explode("b_members").alias("member")).groupBy("member").agg(F.count("*").alias("n"))
     each = asks.where(F.size("a_members") > 0).select("a_members", F.explode("a_members").alias("member")).join(counts, "member", "left")
     # a member that no set holds has no count: its set lies nowhere
     rarest = each.groupBy("a_members").agg(F.min(F.struct("n", "member")).alias("by"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0")
     probes = written(rarest.select("a_members", "by.member", F.ceil(F.col("by.n") / BLOCK).alias("blocks")), "probes")
-    asked = probes.select("member", "blocks").distinct()
-    probes = probes.select("a_members", "member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"))
-    lists = has.select("b_members", F.explode("b_members").alias("member")).join(asked, "member").select("b_members", "member", F.pmod(F.xxhash64("b_members"), "blocks").alias("block"))
-    inside = F.size(F.array_except("a_members", "b_members")) == 0
+    asked = probes.select(F.col("member").alias("of"), "blocks").distinct()
+    probes = probes.select("a_members", _bits("a_members").alias("a_bits"), "member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"))
+    lists = has.select("b_members", _bits("b_members").alias("b_bits"), F.explode("b_members").alias("of")).join(asked, "of")
+    lists = lists.select("b_members", "b_bits", "of", F.pmod(F.xxhash64("b_members"), "blocks").alias("at"))
+    inside = (F.col("member") == F.col("of")) & (F.col("block") == F.col("at")) & (F.col("a_bits").bitwiseAND(F.col("b_bits")) == F.col("a_bits"))
     if proper:
         inside = inside & (F.size("b_members") > F.size("a_members"))
-    met = probes.join(lists, ["member", "block"]).where(inside).select("a_members", "b_members")
+    met = probes.join(lists, inside & (F.size(F.array_except("a_members", "b_members")) == 0), how)
     empty = asks.where(F.size("a_members") == 0).limit(1)  # there's one at most
-    nothing = empty.join(has.where(F.size("b_members") > 0) if proper else has, F.lit(True))
-    return met.unionByName(nothing)
+    nothing = empty.join(has.where(F.size("b_members") > 0) if proper else has, F.lit(True), how)
+    names = ["a_members"] if how == "left_semi" else ["a_members", "b_members"]
+    return met.select(*names).unionByName(nothing.select(*names))
+
+
+def contained(small: DataFrame, large: DataFrame, proper: bool = False) -> DataFrame:
+    """(a_members, b_members): pairs of a different set of small (a_members) and a different set of large (b_members), arrays of strings
+    without repeats and NULLs, sorted, where the first lies in the second; with proper, and isn't the same.
+
+    A NULL set lies in none and holds none. An empty one lies in every set (with proper: that isn't empty)."""
+    return _met(small, large, proper, "inner")
+
+
+def covered(small: DataFrame, large: DataFrame, proper: bool = False) -> DataFrame:
+    """(a_members) of `contained`, each once, without writing its pairs: a set's search of a list ends where it's found."""
+    return _met(small, large, proper, "left_semi").distinct()

@@ -21,6 +21,8 @@ def test_all_pairs(spark, monkeypatch, proper):
     got = [(tuple(r.a_members), tuple(r.b_members)) for r in subsets.contained(frame(spark, small, "a_members"), frame(spark, large, "b_members"), proper).collect()]
     want = {(tuple(a), tuple(b)) for a in small for b in large if a is not None and b is not None and (set(a) < set(b) or (not proper and set(a) == set(b)))}
     assert len(got) == len(set(got)) and set(got) == want and any(not a for a, _ in want)
+    some = [tuple(r.a_members) for r in subsets.covered(frame(spark, small, "a_members"), frame(spark, large, "b_members"), proper).collect()]
+    assert len(some) == len(set(some)) and set(some) == {a for a, _ in want}
 
 
 def test_sets_with_nulls_repeats_and_none(spark):
