@@ -513,8 +513,7 @@ def similarity_histogram(spark, folder):
 @query
 def similarity_histogram_all_rows(spark, folder):
     """Scores of the stated queries with all rows, those below 0 too."""
-    found = retrieval.all_scores(asked(spark, folder), vectors(spark, folder))
-    return retrieval.similarity_histogram(found.withColumn("score", F.round("score", 6)))
+    return retrieval.all_similarities_histogram(asked(spark, folder), vectors(spark, folder), 6)
 
 
 def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -556,8 +555,11 @@ def ir_metrics(spark, folder):
     found = retrieval.semantic_search(asked(spark, folder), vectors(spark, folder), 11).where("query_id <> corpus_id")
     found = found.select("query_id", "corpus_id", (F.col("rank") - 1).alias("rank")).where("rank > 0")
     labels = vectors(spark, folder).select("id", "label")
-    relevant = labels.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "label").join(labels.withColumnRenamed("id", "corpus_id"), "label").where("query_id <> corpus_id")
-    return evaluation.ranking_measures(found, relevant.select("query_id", "corpus_id"), 10).select("queries", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "mrr", "ndcg", "map")])
+    mine = labels.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "label")
+    # rows of a query's label but itself: counted by label, and written out only where found
+    sizes = mine.join(labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), "label").where("n_relevant > 0")
+    relevant = found.select("query_id", "corpus_id").join(mine, "query_id").join(labels.withColumnRenamed("id", "corpus_id"), ["corpus_id", "label"])
+    return evaluation.ranking_measures(found, relevant.select("query_id", "corpus_id"), 10, sizes.select("query_id", "n_relevant")).select("queries", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "mrr", "ndcg", "map")])
 
 
 @query
@@ -597,8 +599,8 @@ def translation_accuracy_all_rows(spark, folder):
     rows = vectors(spark, folder)
 
     def best(k: int, name: str):
-        found = retrieval.all_scores(rows.where(F.col("id") % 100 == k), rows).where("query_id <> corpus_id")
-        first = found.groupBy("query_id").agg(F.min_by("corpus_id", F.struct((-F.round("score", 6)).alias("s"), "corpus_id")).alias("best"))
+        found = retrieval.semantic_search(rows.where(F.col("id") % 100 == k), rows, 2, places=6).where("query_id <> corpus_id")
+        first = found.groupBy("query_id").agg(F.min_by("corpus_id", "rank").alias("best"))
         return first.agg(F.avg((F.col("best") - F.col("query_id") == 1 - 2 * k).cast("double")).alias(name))
 
     return best(0, "forward").join(best(1, "backward"), F.lit(True)).withColumn("accuracy", (F.col("forward") + F.col("backward")) / 2)

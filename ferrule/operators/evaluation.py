@@ -45,10 +45,12 @@ def average_precision(scored: DataFrame) -> DataFrame:
     return at.agg((F.sum(F.col("precision") * F.col("ones")) / F.sum("ones")).alias("ap"))
 
 
-def ranking_measures(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+def ranking_measures(results: DataFrame, relevant: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
     """(queries, accuracy, precision, recall, mrr, ndcg, map) at k. results: (query_id, corpus_id, rank from
-    1); relevant: (query_id, corpus_id). Queries with a relevant row count, found or not."""
-    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    1); relevant: (query_id, corpus_id). Queries with a relevant row count, found or not. sizes: (query_id, n_relevant), if
+    counted elsewhere; then `relevant` need hold only rows that are in `results`."""
+    if sizes is None:
+        sizes = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     hits = results.where(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["query_id", "corpus_id"])
     order = Window.partitionBy("query_id").orderBy("rank")
     hits = hits.withColumn("nth", F.row_number().over(order))
