@@ -5,14 +5,16 @@ r + the cell's reach from its pivot, and, since both are nearest to their own pi
 its own. So each point is copied as a guest into the cells for which both hold, and residents are compared with residents and
 guests of their cell: each pair is met in the home of its first point. Cells are cut into blocks, so that a group has at
 most two blocks, however full a cell is. Points with equal vectors are one point (`collapsed`).
+
+In many dimensions nearly every point may be a guest of nearly every cell. Guests are counted before any is copied, and where
+their copies would cost more than comparing all points, blocks of all points are compared: each point is then copied as often as there are blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,12 @@ from ferrule.plans.stages import written
 
 #: Pivots at most (of 64 numbers: half a megabyte), points for each, and points of a block.
 MOST_PIVOTS, PER_PIVOT, BLOCK = 1024, 256, 512
+#: Points of a block where all are compared, distances made at once, and pairs or copies made at once.
+WHOLE, AT_ONCE, SOME = 16_384, 1 << 20, 1 << 16
+#: Blocks that few points are cut into, for the sake of cores, and tasks at most.
+LEAST, MOST_TASKS = 8, 1000
+#: What a copy of a point costs, in distances.
+COPY = 100
 #: What rounding may add to a distance, as a share of the largest length.
 SLACK = 1e-7
 
@@ -46,12 +54,10 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def placed(points: DataFrame, radius: float) -> tuple[DataFrame, np.ndarray]:
-    """(cell, resident, id, vector): each point in its own cell, and as a guest in those that it may have near points in;
-    and how many residents and members each cell has."""
-    spark, kind = points.sparkSession, points.schema["id"].dataType.simpleString()
-    n = points.count()
-    k = min(MOST_PIVOTS, max(1, n // PER_PIVOT))
+def _cells(points: DataFrame, radius: float) -> tuple[Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """A function that says for vectors which cells they are in and which is their own, and how many residents and members each cell has."""
+    spark = points.sparkSession
+    k = min(MOST_PIVOTS, max(1, points.count() // PER_PIVOT))
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(k).select("vector").collect()  # MOST_PIVOTS at most
     sent = spark.sparkContext.broadcast(np.array([r.vector for r in chosen]))
 
@@ -67,53 +73,106 @@ def placed(points: DataFrame, radius: float) -> tuple[DataFrame, np.ndarray]:
     for r in points.select("vector").mapInArrow(farthest, "cell int, reach double").groupBy("cell").agg(F.max("reach").alias("reach")).collect():
         reach[r.cell] = r.reach
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pivots = sent.value
+        d = _lengths(x, pivots)
+        home = d.argmin(1)
+        slack = SLACK * (1 + np.sqrt((x * x).sum(1).max()) + np.abs(pivots).max())
+        out = (d <= reach[None] + radius + slack) & (d - d.min(1)[:, None] <= 2 * radius + slack) & (reach >= 0)[None]
+        out[np.arange(len(x)), home] = True
+        return out, home
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, k), np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column(1))
-            d = _lengths(x, pivots)
-            home = d.argmin(1)
-            slack = SLACK * (1 + np.sqrt((x * x).sum(1).max()) + np.abs(pivots).max())
-            near = (d <= reach[None] + radius + slack) & (d - d.min(1)[:, None] <= 2 * radius + slack) & (reach >= 0)[None]
-            near[np.arange(len(x)), home] = True
-            row, cell = np.nonzero(near)
-            made = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), *made.columns], ["cell", "resident", "id", "vector"])
-
-    members = written(points.select("id", "vector").mapInArrow(dealt, f"cell int, resident boolean, id {kind}, vector array<double>"), "members")
+            if len(batch):
+                inside, home = near(_matrix(batch.column(0)))
+                total += np.bincount(home, minlength=k), inside.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), *map(pa.array, total)], ["cell", "own", "all"])
+
     sizes = np.zeros((k, 2), np.int64)
-    for r in members.groupBy("cell").agg(F.count_if("resident").alias("own"), F.count("*").alias("all")).collect():
+    for r in points.select("vector").mapInArrow(counted, "cell int, own long, all long").groupBy("cell").agg(F.sum("own").alias("own"), F.sum("all").alias("all")).collect():
         sizes[r.cell] = r.own, r.all
-    return members, sizes
+    return near, sizes
+
+
+def placed(points: DataFrame, radius: float) -> tuple[DataFrame, np.ndarray]:
+    """(cell, resident, id, vector): each point in its own cell, and as a guest in those that it may have near points in;
+    and how many residents and members each cell has."""
+    near, sizes = _cells(points, radius)
+    kind = points.schema["id"].dataType.simpleString()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            inside, home = near(_matrix(batch.column(1)))
+            row, cell = np.nonzero(inside)
+            for lo in range(0, len(row), SOME):
+                r, c = row[lo : lo + SOME], cell[lo : lo + SOME]
+                made = batch.take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(home[r] == c), *made.columns], ["cell", "resident", "id", "vector"])
+
+    return points.select("id", "vector").mapInArrow(dealt, f"cell int, resident boolean, id {kind}, vector array<double>"), sizes
 
 
-def within(points: DataFrame, radius: float) -> DataFrame:
+def _nearest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` nearest of their i."""
+    order = np.lexsort((j, distance, i))
+    at = i[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1]], np.arange(len(at)), 0)) if len(at) else at
+    return order[np.arange(len(at)) - first < most]
+
+
+def within(points: DataFrame, radius: float, most: int | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a <> b of different points (id, vector) no farther apart than the radius (euclidean), each
-    both ways. Ids are different; collapse equal vectors first, else all their pairs are written out."""
+    both ways. Ids are different; collapse equal vectors first, else all their pairs are written out.
+
+    most: of each pair of blocks, only the `most` nearest of each a, so that the `most` nearest of all are there, and few more."""
     spark, kind = points.sparkSession, points.schema["id"].dataType.simpleString()
     if points.isEmpty():
         return spark.createDataFrame([], f"a {kind}, b {kind}, distance double")
-    members, sizes = placed(points, radius)
-    blocks = np.maximum(1, -(-sizes // BLOCK)).tolist()
-    told = spark.createDataFrame([(k, *b) for k, b in enumerate(blocks)], "of int, own_blocks int, all_blocks int")  # one row a pivot
+    _, sizes = _cells(points, radius)
+    n = int(sizes[:, 0].sum())
+    blocks = np.maximum(1, -(-sizes // BLOCK))
+    across = max(-(-n // WHOLE), min(LEAST, -(-LEAST * n // WHOLE)))
+    cost = (sizes[:, 0] * (COPY * blocks[:, 1] + sizes[:, 1])).sum() + COPY * (sizes[:, 1] * (1 + blocks[:, 0])).sum()
+    whole = cost > n * (2 * COPY * across + n)
+    if whole:
+        members, blocks = points.select(F.lit(0).alias("cell"), F.lit(True).alias("resident"), "id", F.col("vector").cast("array<double>").alias("vector")), np.array([[across, across]])
+    else:
+        members = written(placed(points, radius)[0], "members")
+    told = spark.createDataFrame([(k, *b) for k, b in enumerate(blocks.tolist())], "of int, own_blocks int, all_blocks int")  # one row a pivot
     rows = members.join(F.broadcast(told), F.col("cell") == F.col("of"))
     own = rows.where("resident").select("cell", F.pmod(F.xxhash64("id"), F.col("own_blocks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - F.lit(1).cast("long"))).alias("j"), F.lit(True).alias("first"), "id", "vector")
     met = rows.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - F.lit(1).cast("long"))).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("all_blocks")).alias("j"), F.lit(False).alias("first"), "id", "vector")
 
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["first"]], group[~group["first"]]
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).select(["first", "id", "vector"])
+        first = group["first"].to_numpy()
+        left, right = (group.filter(pa.array(side)) for side in (first, ~first))
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": group["id"].iloc[:0], "b": group["id"].iloc[:0], "distance": np.empty(0)})
-        x, y = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
-        i, j = np.nonzero(_lengths(x, y) <= radius + SLACK * (1 + np.abs(x).max() * x.shape[1] ** 0.5))
-        exact = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        good = (exact <= radius) & (a != b)
-        return pd.DataFrame({"a": a[good], "b": b[good], "distance": exact[good]})
-
-    return own.unionByName(met).groupBy("cell", "i", "j").applyInPandas(compared, f"a {kind}, b {kind}, distance double")
+            return
+        x, y = (_matrix(side["vector"].combine_chunks()) for side in (left, right))
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        bound, step = radius + SLACK * (1 + np.abs(x).max() * x.shape[1] ** 0.5), max(1, AT_ONCE // len(y))
+        for lo in range(0, len(x), step):
+            i, j = np.nonzero(_lengths(x[lo : lo + step], y) <= bound)
+            i += lo
+            exact = np.empty(len(i))
+            for at in range(0, len(i), SOME):
+                part = slice(at, at + SOME)
+                exact[part] = np.sqrt(((x[i[part]] - y[j[part]]) ** 2).sum(1))
+            good = np.flatnonzero((exact <= radius) & (a[i] != b[j]))
+            if most is not None:
+                good = good[_nearest(i[good], j[good], exact[good], most)]
+            made = [left["id"].take(pa.array(i[good])), right["id"].take(pa.array(j[good])), pa.array(exact[good])]
+            yield from pa.table(made, ["a", "b", "distance"]).combine_chunks().to_batches()
+
+    every = own.unionByName(met)
+    if whole:  # few and equal groups, which would share tasks
+        every = every.repartition(min(MOST_TASKS, 4 * across * across), "cell", "i", "j")
+    return every.groupBy("cell", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}, distance double")
 
 
 def similar(points: DataFrame, least: float) -> DataFrame:

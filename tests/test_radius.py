@@ -97,3 +97,25 @@ def test_communities_in_order(spark, score, size):
             want |= {(ids[i], j) for j in left}
             taken |= set(left)
     assert {(r.community, r.id) for r in clustering.communities(frame(spark, rows), score, size).collect()} == want
+
+
+def test_guests_are_not_copied_into_all_cells(spark, monkeypatch):
+    """In 32 dimensions each point is a guest of nearly each cell: blocks of all points are compared, with the same pairs, and the
+    nearest of each point only, if asked."""
+    for name, value in {"PER_PIVOT": 5, "BLOCK": 16, "WHOLE": 150, "AT_ONCE": 2000, "SOME": 64}.items():
+        monkeypatch.setattr(radius, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (300, 32))
+    df = frame(spark, dict(enumerate(x.tolist()))).select("id", "vector")
+    _, sizes = radius.placed(df, 7.0)
+    assert sizes[:, 1].sum() > 20 * 300
+    monkeypatch.setattr(radius, "placed", None)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = [(p.a, p.b) for p in radius.within(df, 7.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*(k.tolist() for k in np.nonzero(d <= 7.0)), strict=True))
+    some = radius.within(df, 7.0, 3).collect()
+    assert len(some) < len(got)
+    for k in range(300):
+        want = sorted(d[k][d[k] <= 7.0])[:3]
+        assert np.allclose(sorted(p.distance for p in some if p.a == k)[:3], want)
