@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ferrule.plans.stages import written
 
 
+#: Phrases up to which they are broadcast (of 20 letters: about 100 MB).
+BROADCAST_PHRASES = 1_000_000
+
+
 def words(text: Column) -> Column:
     """The words between white space; none of a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
@@ -36,39 +40,46 @@ def runs(docs: DataFrame, longest: int, separator: str = "_") -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int, separator: str = "_") -> DataFrame:
     """(phrase, n) of the runs of 2 to `longest` tokens, A-Z as a-z, that are in `least` rows or more of docs (row, tokens)."""
-    found = runs(docs, longest, separator).select("row", F.lower("run").alias("phrase")).distinct()
+    head = lambda i: F.slice(F.col("tokens"), i + 1, longest)
+    joined = lambda h: F.transform(F.sequence(F.lit(2), F.size(h)), lambda n: F.lower(F.array_join(F.slice(h, F.lit(1), n), separator)))
+    each = F.transform("tokens", lambda t, i: F.when(F.size(head(i)) > 1, joined(head(i))).otherwise(F.array().cast("array<string>")))
+    # a row's runs are made different in the row itself: no run moves with its row
+    found = docs.select(F.explode(F.array_distinct(F.flatten(each))).alias("phrase"))
     return found.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def _covered(tokens: list[str], matches: list[dict]) -> tuple[list[str], int]:
+def _covered(tokens: list[str], matches: list[dict], separator: str) -> tuple[list[str], int]:
     """Tokens with the matches (longest first, then from the left) that don't overlap an earlier one, and how many."""
     free, first = bytearray(b"\x01") * len(tokens), {}
     for m in matches:
         lo, hi = m["at"], m["at"] - m["shorter"]
         if all(free[lo:hi]):
             free[lo:hi] = bytes(hi - lo)
-            first[lo] = m["phrase"]
+            first[lo] = separator.join(tokens[lo:hi]) if m["phrase"] is None else m["phrase"]
     return [first.get(k, t) for k, t in enumerate(tokens) if free[k] or k in first], len(first)
 
 
 def phrase_tokens(docs: DataFrame, phrases: DataFrame, longest: int = 5, separator: str = "_") -> DataFrame:
     """docs (id, tokens) with `tokens` covered by phrases (phrase: words joined by the separator), and `n_phrases`.
 
-    All runs of up to `longest` tokens meet the phrases in one hash join, as they are or, failing that, in lower case; then in each row
+    All runs of up to `longest` tokens meet the phrases by hash, as they are or, failing that, in lower case (up to BROADCAST_PHRASES
+    of them without moving, beyond that by a shuffle), and only matches' places move; then in each row
     longer matches come before shorter ones, and of one length the left one before those that overlap it. Phrases with an empty word, or of
     more words, aren't used; repeated ones count once. Repeated and null ids come back as they are; null tokens are none."""
     rows = written(docs.select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    known = phrases.select("phrase").where(F.col("phrase").isNotNull() & ~F.array_contains(F.split("phrase", separator, -1), "")).distinct()
+    known = written(phrases.select("phrase").where(F.col("phrase").isNotNull() & ~F.array_contains(F.split("phrase", separator, -1), "")).distinct(), "phrases")
+    few = F.broadcast if known.count() <= BROADCAST_PHRASES else lambda df: df
     found = runs(rows.select("row", "tokens"), longest, separator)
-    forms = F.array_distinct(F.array("run", F.lower("run")))
-    each = found.select("row", "at", "n", F.posexplode(forms).alias("form", "said")).join(known, F.col("said") == F.col("phrase"))
-    best = each.groupBy("row", "at", "n").agg(F.min_by("phrase", "form").alias("phrase"))
-    matches = best.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("shorter"), "at", "phrase"))).alias("matches"))
+    # a run that is a phrase as it is can be read from its row again, so its words don't move
+    found = found.join(few(known.select(F.col("phrase").alias("same"))), F.col("run") == F.col("same"), "left")
+    found = found.join(few(known.select(F.col("phrase").alias("lower"))), F.col("same").isNull() & (F.lower("run") == F.col("lower")), "left")
+    found = found.where(F.col("same").isNotNull() | F.col("lower").isNotNull()).select("row", "at", "n", F.when(F.col("same").isNull(), F.col("lower")).alias("phrase"))
+    matches = found.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("shorter"), "at", "phrase"))).alias("matches"))
     met = rows.join(matches, F.col("row") == F.col("of"), "left").select("id", "tokens", "matches")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_covered(t, m or []) for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [_covered(t, m or [], separator) for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             tokens, count = [x[0] for x in made], [x[1] for x in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string())), pa.array(count, pa.int64())], ["id", "tokens", "n_phrases"])
 

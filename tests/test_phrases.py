@@ -47,3 +47,19 @@ def test_frequent_runs_of_documents(spark):
     want = {k: scanned(t, known, 3) for k, t in texts}
     got = QUERIES["phrase_tokens"](spark, folder).collect()
     assert {r.id: (r.n_tokens, r.n_phrases) for r in got} == {k: (len(t), n) for k, (t, n) in want.items()} and sum(r.n_phrases for r in got) > 0
+
+
+def test_many_phrases_are_not_broadcast_and_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["New", "York", "is", "New", "YORK"]), (2, ["is", "new"]), (3, ["New", "YORK"])], "id long, tokens array<string>")
+    table = spark.createDataFrame([("New_York",), ("new_york",), ("is_new",)], "phrase string")
+    few = phrases.phrase_tokens(docs, table, 3)
+    assert {r.id: (r.tokens, r.n_phrases) for r in few.collect()} == {1: (["New_York", "is_new", "YORK"], 2), 2: (["is_new"], 1), 3: (["new_york"], 1)}
+    monkeypatch.setattr(phrases, "BROADCAST_PHRASES", 0)
+    assert sorted(phrases.phrase_tokens(docs, table, 3).collect()) == sorted(few.collect())
+
+
+def test_runs_are_counted_without_moving_rows(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "A", "b"]), (2, ["a", "B"]), (3, ["a"]), (4, [])], "row long, tokens array<string>")
+    found = phrases.frequent_phrases(docs, 3, 1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.phrase: r.n for r in found.collect()} == {"a_b": 2, "b_a": 1, "a_b_a": 1, "b_a_b": 1}
