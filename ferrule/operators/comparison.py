@@ -80,14 +80,15 @@ def maximal_sets(sets: DataFrame, column: str = "attrs") -> DataFrame:
 
 def uncovered_sets(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Sets of truth that no set of found contains; an empty one is in any."""
-    each = _in_order(truth, "attrs")
+    each = written(_in_order(truth, "attrs"), "truth")
     inside = covered(each.withColumnRenamed("attrs", "a_members"), _in_order(found, "attrs").withColumnRenamed("attrs", "b_members"))
     return each.join(inside.select(F.col("a_members").alias("attrs")), "attrs", "left_anti")
 
 
 def recall_report(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(attr, n_truth, n_uncovered): how many sets of truth have each attribute, and how many of those no set of found contains."""
-    every, missed = attribute_counts(_in_order(truth, "attrs")), attribute_counts(uncovered_sets(truth, found))
+    each = written(_in_order(truth, "attrs"), "truth")
+    every, missed = attribute_counts(each), attribute_counts(uncovered_sets(each, found))
     out = every.join(missed.select(F.col("attr").alias("of"), F.col("n").alias("missed")), F.col("attr") == F.col("of"), "left")
     return out.select("attr", F.col("n").alias("n_truth"), F.coalesce("missed", F.lit(0)).alias("n_uncovered"))
 

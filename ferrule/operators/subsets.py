@@ -1,19 +1,25 @@
-"""Which sets lie in which others, through an inverted index.
+"""Which sets lie in which others.
 
-A set can only lie in sets that hold its rarest member, so it asks one posting list, that of the member that the fewest
-larger sets hold; what is met there is compared by 64 bits of its members first, then whole. Only lists that are asked are written. A list longer than BLOCK is cut into blocks by
+Sets of up to `LISTED` members say all their subsets of the sizes that are asked for, member by member, each written once
+for all the sets that have it; who asks meets them by equality. So work is the different subsets', which members of a fixed vocabulary bound, and
+no key has more rows than sets that are equal to it.
+
+Larger ones go through an inverted index: a set can only lie in sets that hold its rarest member, so it asks one posting list, that of
+the member that the fewest larger sets hold; what is met there is compared by 64 bits of its members first, then whole. Only lists that are asked are written. A list longer than BLOCK is cut into blocks by
 a hash of the set, and who asks it asks each block: no task holds a hot member's list whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.plans.stages import written
 
-#: Sets of a posting list that one key holds, about.
-BLOCK = 50_000
+#: Sets of a posting list that one key holds, about, and members up to which a set says its subsets.
+BLOCK, LISTED = 50_000, 8
 
 
 def _bits(members: str) -> Column:
@@ -51,6 +57,32 @@ def contained(small: DataFrame, large: DataFrame, proper: bool = False) -> DataF
     return _met(small, large, proper, "inner")
 
 
+def _listed(sets: DataFrame, asks: DataFrame, proper: bool) -> list[DataFrame]:
+    """(a_members) of asks that lie in sets of up to LISTED members, size by size from the largest: what lies in a set of n is
+    the set itself, or lies in what is left of it without one member. All are distinct and not empty."""
+    sizes = sets.agg(F.max(F.size("b_members"))).first()[0] or 0
+    least = asks.where(F.size("a_members") > 0).agg(F.min(F.size("a_members"))).first()[0] or LISTED + 1
+    out, below = [], None
+    for size in range(sizes, least - 1, -1):
+        here = sets.where(F.size("b_members") == size)
+        every = here if below is None else here.unionByName(below).distinct()
+        if size > least:
+            every = written(every, "level")
+        among = below if proper else every
+        if among is not None:
+            met = among.withColumnRenamed("b_members", "a_members")
+            out.append(asks.where(F.size("a_members") == size).join(met, "a_members", "left_semi"))
+        below = every.select(F.explode(F.transform("b_members", lambda m: F.array_remove(F.col("b_members"), m))).alias("b_members")).distinct()
+    return out
+
+
 def covered(small: DataFrame, large: DataFrame, proper: bool = False) -> DataFrame:
-    """(a_members) of `contained`, each once, without writing its pairs: a set's search of a list ends where it's found."""
-    return _met(small, large, proper, "left_semi").distinct()
+    """(a_members) of `contained`, each once, without writing its pairs: short sets of large say what lies in them, a set's search
+    of a list of longer ones ends where it's found."""
+    asks = written(small.select("a_members").where("a_members is not null").distinct(), "asks")
+    has = written(large.select("b_members").where("b_members is not null").distinct(), "sets")
+    met = _listed(has.where(F.size("b_members").between(1, LISTED)), asks, proper)
+    long = has.where(F.size("b_members") > LISTED)
+    # the empty set lies in any; what only short sets may have needn't ask the lists
+    met.append(_met(asks.where("size(a_members) = 0") if long.isEmpty() else asks, long.unionByName(has.where(F.size("b_members") <= LISTED).orderBy(F.size("b_members").desc()).limit(1)), proper, "left_semi"))
+    return reduce(DataFrame.unionByName, met).distinct()

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ferrule.operators import comparison, subsets
 
@@ -46,3 +47,24 @@ def test_rules_of_odd_values(spark):
     shown = lambda r, s: str(([tuple(i) for i in r[f"{s}_lhs"]], r[f"{s}_rhs_attr"], r[f"{s}_rhs_value"]))
     assert {(shown(r, "a"), shown(r, "b")) for r in got} == want and len(got) == len(want)
     assert comparison.subsumed(spark.createDataFrame([], kind), spark.createDataFrame(b, kind)).count() == 0
+
+
+def test_short_and_long_sets_by_brute_force(spark):
+    """Sets on both sides of the size up to which subsets are listed, with the empty set and NULL."""
+    rng = random.Random(9)
+    draw = lambda n: sorted({tuple(sorted(rng.sample("abcdefghijkl", rng.randint(0, 11)))) for _ in range(n)})
+    for small, large in ((draw(150), draw(60)), ([(), ("a",)], [("a",)])):
+        a = spark.createDataFrame([(list(x),) for x in small] + [(None,)], "a_members array<string>")
+        b = spark.createDataFrame([(list(x),) for x in large] + [(None,)], "b_members array<string>")
+        for proper in (False, True):
+            expected = sorted(x for x in small if any(set(x) <= set(y) and not (proper and x == y) for y in large))
+            assert sorted(tuple(r.a_members) for r in subsets.covered(a, b, proper).collect()) == expected
+
+
+def test_a_common_member_makes_no_pairs(spark):
+    """What the sets of few members are compared by grows with their subsets, not with the pairs that share a member."""
+    sets = spark.range(4000).select(F.array(F.lit("a"), F.concat(F.lit("b"), "id"), F.concat(F.lit("c"), "id")).alias("attrs"))
+    a, b = (sets.select(F.col("attrs").alias(f"{s}_members")) for s in "ab")
+    levels = subsets._listed(b, a, False)
+    plan = levels[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" not in plan and sum(x.count() for x in levels) == 4000
