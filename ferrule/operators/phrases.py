@@ -23,12 +23,14 @@ def words(text: Column) -> Column:
 def thinned(text: Column, key: Column, ratio: float = 0.6, seed: int = 0) -> Column:
     """The text with about a share `ratio` of its words left out, one word at least kept, joined by blanks: deletion noise. Which
     ones is said by a hash of seed, key and place, so reruns agree. A text without words stays as it is, and a null one null."""
-    drawn = F.transform(words(text), lambda w, i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), (i + 1).cast("string"))).alias("h"), i.alias("i"), w.alias("w")))
     if not 0 <= ratio < 1:
         raise ValueError(f"the ratio {ratio} isn't from 0 to below 1")
-    kept = F.filter(drawn, lambda d: F.substring(d.h, 1, 8) >= f"{int(ratio * 2**32):08x}")
-    kept = F.when(F.size(kept) == 0, F.array(F.array_max(drawn))).otherwise(kept)
-    return F.when(F.size(drawn) == 0, text).otherwise(F.array_join(F.transform(kept, lambda d: d.w), " "))
+    least = f"{int(ratio * 2**32):08x}"
+    # what is bound to a lambda's variable is made once, whatever reads it
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    drawn = F.transform(words(text), lambda w, i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), (i + 1).cast("string"))).alias("h"), i.alias("i"), w.alias("w")))
+    kept = lambda d: bound(F.filter(d, lambda x: F.substring(x.h, 1, 8) >= least), lambda k: F.when(F.size(k) == 0, F.array(F.array_max(d))).otherwise(k))
+    return bound(drawn, lambda d: F.when(F.size(d) == 0, text).otherwise(F.array_join(F.transform(kept(d), lambda x: x.w), " ")))
 
 
 def runs(docs: DataFrame, longest: int, separator: str = "_") -> DataFrame:

@@ -35,3 +35,9 @@ def test_ranks_and_gaps(spark):
     assert profiling.gap_index(rows).first()["index"] == 1 and profiling.gap_index(rows, 0.99).first()["index"] == 4
     wanted = rows.where("item <> 'c'").withColumn("rank", 3 - F.col("rank"))
     assert comparison.rank_displacement(rows, wanted, 3).first().displacement == 3 + 1 + 4
+
+
+def test_deletion_noise_draws_once(spark):
+    df = spark.createDataFrame([(1, "a b")], "id long, text string")
+    plan = df.select(phrases.thinned(F.col("text"), F.col("id")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
