@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ferrule.llm import toxicity
 
@@ -50,3 +51,18 @@ def test_nothing_to_learn_from(spark, recwarn):
     marks = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.classify(df, marks).collect()
     assert all(0 <= r.score <= 1 for r in got) and not [w for w in recwarn if "empty slice" in str(w.message)]
+
+
+@pytest.mark.parametrize("shard", [1 << 21, 8000])
+def test_all_labelled_documents_are_learnt_from(spark, monkeypatch, shard):
+    """Those of label 1 have the largest hashes, beyond 8000 others; in one shard and in several."""
+    monkeypatch.setattr(toxicity, "SHARD", shard)
+    keys = spark.range(12_000).withColumnRenamed("id", "doc_id").where(toxicity.fold("doc_id") != 0)
+    order = [r.doc_id for r in keys.orderBy(F.xxhash64("doc_id", F.lit("sample"))).collect()]
+    assert len(order) > 9000
+    bad = set(order[8000:])
+    rows = [(k, f"word{k % 7} zqx vile" if k in bad else f"word{k % 7} fine day", "en") for k in order] + [(12_000, "word1 zqx vile", "en"), (12_001, "word1 fine day", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(k, int(k in bad)) for k in order], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.classify(df, marks).collect()}
+    assert (got[12_000], got[12_001]) == (1, 0) and all(got[k] == (k in bad) for k in order)
