@@ -79,14 +79,16 @@ def steps(flat: np.ndarray, state: np.ndarray, shape: Shape, inputs: np.ndarray,
     for _ in range(passes):
         order, total = rng.permutation(len(inputs)), 0.0
         for at in range(0, len(order), BATCH):
-            x, y = inputs[order[at : at + BATCH]], targets[order[at : at + BATCH]].reshape(-1)
+            x, y = inputs[order[at : at + BATCH]], targets[order[at : at + BATCH]]
+            lo = int((y >= 0).any(0).argmax())  # places before the first target are read only
+            y = y[:, lo:].reshape(-1)
             known = np.flatnonzero(y >= 0)
             if not len(known):
                 continue
             grad[:] = 0
             e = p[0][x]
-            q, k, v, a, o = _attended(e, p, slice(0, WINDOW))
-            h = e.reshape(-1, d) + o.reshape(-1, d) @ p[3]
+            q, k, v, a, o = _attended(e, p, slice(lo, WINDOW))
+            h = e[:, lo:].reshape(-1, d) + o.reshape(-1, d) @ p[3]
             z = np.maximum(h @ p[4] + p[5], 0)
             h2 = h + z @ p[6]
             logits = h2 @ p[7] + p[8]
@@ -110,11 +112,14 @@ def steps(flat: np.ndarray, state: np.ndarray, shape: Shape, inputs: np.ndarray,
             da = np.matmul(do, v.transpose(0, 2, 1))
             dv = np.matmul(a.transpose(0, 2, 1), do)
             ds = a * (da - (da * a).sum(2, keepdims=True))
-            g[2][:] = np.bincount(_DISTANCE.reshape(-1), ds.sum(0).reshape(-1), WINDOW)
+            g[2][:] = np.bincount(_DISTANCE[lo:].reshape(-1), ds.sum(0).reshape(-1), WINDOW)
             ds *= np.float32(d**-0.5)
-            dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], 2).reshape(-1, 3 * d)
+            dq = np.zeros_like(v)
+            dq[:, lo:] = np.matmul(ds, k)
+            dqkv = np.concatenate([dq, np.matmul(ds.transpose(0, 2, 1), q[:, lo:]), dv], 2).reshape(-1, 3 * d)
             g[1][:] = e.reshape(-1, d).T @ dqkv
-            de = dh + dqkv @ p[1].T
+            de = dqkv @ p[1].T
+            de.reshape(e.shape)[:, lo:] += dh.reshape(o.shape)
             flat_x = x.reshape(-1)
             by = np.argsort(flat_x, kind="stable")
             first = np.flatnonzero(np.diff(flat_x[by], prepend=-1))
@@ -138,7 +143,8 @@ class Scorer:
         self.back, self.ones, self.d = np.ascontiguousarray(p[6]), np.ones(max(WINDOW, shape.head + 1), np.float32), d
         empty = lambda *x: np.empty(x, np.float32)
         self.seen, self.a, self.v = empty(n * WINDOW, 4 * d), empty(n, STRIDE, WINDOW), empty(n, STRIDE, d)
-        self.h, self.z, self.logits = np.ones((n * STRIDE, d + 1), np.float32), empty(n * STRIDE, shape.hidden), empty(n * STRIDE, shape.head + 1)
+        # products are taken window by window: in one of all windows, last digits depend on the place
+        self.h, self.z, self.logits = np.ones((n, STRIDE, d + 1), np.float32), empty(n, STRIDE, shape.hidden), empty(n, STRIDE, shape.head + 1)
         self.at = np.arange(n * STRIDE) * (shape.head + 1)
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -157,13 +163,13 @@ class Scorer:
             np.exp(self.a, self.a)  # scores are small: embeddings are
             np.matmul(self.a, seen[:, :, 2 * d : 3 * d], self.v)
             self.v /= (self.a @ self.ones[:WINDOW])[:, :, None]
-            h = self.h[:, :d]
-            np.add(self.v.reshape(-1, d), seen[:, CONTEXT:, 3 * d :].reshape(-1, d), h)
+            h = self.h[:, :, :d]
+            np.add(self.v, seen[:, CONTEXT:, 3 * d :], h)
             np.matmul(self.h, self.hidden, self.z)
             np.maximum(self.z, 0, self.z)
             h += self.z @ self.back
             np.matmul(self.h, self.out, self.logits)
             told = np.take(self.logits.reshape(-1), self.at[: len(ys)] + ys)
             np.exp(self.logits, self.logits)
-            out[lo : lo + n] = (told - np.log((self.logits @ self.ones[: self.logits.shape[1]])[: len(ys)])).reshape(n, STRIDE)
+            out[lo : lo + n] = (told - np.log((self.logits @ self.ones[: self.logits.shape[2]]).reshape(-1)[: len(ys)])).reshape(n, STRIDE)
         return out

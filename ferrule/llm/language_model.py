@@ -6,9 +6,8 @@ their product, mixed with the word's share of the learnt text (`SHARE_OF_COUNTS`
 base score, all words not learnt from count as one: what is learnt from the corpus isn't only the weights,
 but all its words, and a score is at least the base score less -log10(SHARE_OF_COUNTS) a word.
 
-One pass over the documents to learn from counts words and ids, in all of them, and keeps one window of ids
-in `ONE_IN`, by a hash of its text and place: the sample that fits the weights grows with the corpus, and takes from every
-document alike. Weights are fitted in `ROUNDS`: windows are dealt to shards of about `SHARD`, each is a task
+One pass over the documents to learn from counts words and ids, and keeps the windows of ids, of all of them. Weights are fitted
+to all windows in `ROUNDS`, each window in one of them: those of a round are dealt to shards of about `SHARD`, each is a task
 that goes on from the same weights, and their mean, taken `MERGED` at a time, starts the next round.
 
 Words of the largest counts, at most `COMMON`, go to the executors; the others meet their counts in a join, so that
@@ -33,14 +32,18 @@ from pyspark.sql import functions as F
 from ferrule.llm import words
 from ferrule.llm.attention import BATCH, CONTEXT, STRIDE, WINDOW, Scorer, Shape, steps
 from ferrule.llm.lexical_search import blocks, runs
-from ferrule.llm.shared import importable, keep
+from ferrule.llm.shared import importable, keep, let_go
 
 FOLDS, HELD_OUT = 7, 2
 INPUTS, HEAD, SHARE_OF_COUNTS = 4096, 159, 0.6
-ONE_IN, SHARD, ROUNDS, MERGED, MOST_PASSES, START = 32, 16_384, 2, 64, 20, 1e-3
+SHARD, ROUNDS, MERGED, START = 32_768, 4, 64, 1e-3
+#: A shard of fewer windows than PASSED is gone over again, up to so many times.
+PASSED, MOST_PASSES = 16_384, 20
 COMMON = 1 << 20
 #: Bytes of text taken at once, ids remembered by a worker, and letters from which a word is spelt in pieces.
 BLOCK, REMEMBERED, PIECE = 4 << 20, 3 << 20, 64
+#: Windows written at once.
+SOME = 1 << 15
 #: Codes besides the vocabulary's ids: a word's end of text, before a text, after a text.
 END, BEFORE, AFTER, CODES = 65_533, 65_535, 65_534, 65_536
 
@@ -131,19 +134,10 @@ class Said:
         start = np.repeat(base[:-1] - STRIDE * outputs[:-1], count) + STRIDE * np.arange(outputs[-1])
         return np.lib.stride_tricks.sliding_window_view(line, WINDOW + 1)[start] if len(start) else np.empty((0, WINDOW + 1), np.uint16), count, outputs[:-1] * STRIDE
 
-    def chosen(self, count: np.ndarray) -> np.ndarray:
-        """The windows kept for learning, by the words of their text and their place in it."""
-        order = np.arange(len(self.which)) - np.repeat(self.words[:-1], np.diff(self.words))
-        with np.errstate(over="ignore"):
-            said = np.append(self.hashes, np.uint64(0))[self.which]
-            text = np.add.reduceat(words.mixed(said + order.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), self.words[:-1])
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            return np.flatnonzero(words.mixed(np.repeat(text, count) + place.astype(np.uint64)) % np.uint64(ONE_IN) == 0)
-
 
 def gathered(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(kind, a, n, ids) of docs (text): for each block, its words a and their counts n (kind 0); for each task, its
-    ids a and their counts n (kind 1); and the windows kept for learning (kind 2)."""
+    ids a and their counts n (kind 1); and all windows (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = subwords(path, pattern), np.zeros(CODES, np.int64)
@@ -158,9 +152,10 @@ def gathered(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 inner = said.which[said.which >= 0]
                 yield rows(0, said.hashes.view(np.int64), np.bincount(inner, minlength=len(said.hashes)))
                 seen += np.bincount(said.ids, minlength=CODES)
-                windows, count, _ = said.windows()
-                kept = windows[said.chosen(count)]
-                yield rows(2, np.arange(len(kept)), np.ones(len(kept)), [w.tobytes() for w in kept])
+                windows, _, _ = said.windows()
+                for lo in range(0, len(windows), SOME):
+                    part = windows[lo : lo + SOME]
+                    yield rows(2, np.zeros(len(part)), np.ones(len(part)), [w.tobytes() for w in part])
         used = np.flatnonzero(seen)
         yield rows(1, used, seen[used])
 
@@ -195,13 +190,19 @@ class Codes:
         return Codes(slot.astype(np.int32), kind.astype(np.int32), share, shares / shares.sum())
 
 
+def dealt(windows: DataFrame, shards: int) -> DataFrame:
+    """(ids, shard, turn): every window in one shard of one round."""
+    at = windows.select("ids", F.monotonically_increasing_id().alias("at"))
+    return at.select("ids", F.pmod("at", F.lit(shards)).alias("shard"), F.pmod(F.floor(F.col("at") / shards), F.lit(ROUNDS)).alias("turn"))
+
+
 def fitted(windows: DataFrame, codes: Codes) -> np.ndarray:
     """Weights from windows (ids), by rounds of shards and their means. Only means come to the driver."""
     spark = windows.sparkSession
     shape = Shape(INPUTS, HEAD)
     flat = np.concatenate([shape.start(codes.shares), np.full(shape.length(), START, np.float32)])
-    shards = max(1, -(-windows.count() // SHARD))
-    dealt = windows.select("ids", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"))
+    shards = max(1, -(-windows.count() // (SHARD * ROUNDS)))
+    rows = dealt(windows, shards)
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("shard")
@@ -214,23 +215,25 @@ def fitted(windows: DataFrame, codes: Codes) -> np.ndarray:
             flat, codes = sent.value
             both = flat.copy()
             ids = np.stack([np.frombuffer(b, np.uint16) for b in sorted(group["ids"])])
-            passes = min(MOST_PASSES, max(1, SHARD // len(ids)))
-            half = len(both) // 2
-            steps(both[:half], both[half:], shape, codes.slot[ids[:, :-1]], codes.kind[ids[:, 1:]], passes)
+            passes = min(MOST_PASSES, max(1, PASSED // len(ids)))
+            half, targets = len(both) // 2, codes.kind[ids[:, 1:]]
+            targets[:, :CONTEXT] = -1  # the window before has them
+            steps(both[:half], both[half:], shape, codes.slot[ids[:, :-1]], targets, passes)
             return pd.DataFrame({"shard": group["shard"].iloc[:1], "n": [len(ids)], "weights": [both.tobytes()]})
 
         return learnt
 
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         schema, n = "shard bigint, n bigint, weights binary", shards
-        out = dealt.groupBy("shard").applyInPandas(learning(spark.sparkContext.broadcast((flat, codes))), schema)
+        out = rows.where(F.col("turn") == turn).drop("turn").groupBy("shard").applyInPandas(learning(spark.sparkContext.broadcast((flat, codes))), schema)
         while n > MERGED:
             out = out.withColumn("over", F.expr(f"shard div {MERGED}")).groupBy("over").applyInPandas(lambda g: merged(g.drop(columns="over")), schema)
             n = -(-n // MERGED)
-        rows = out.toPandas()
-        if not len(rows):
-            break
-        flat = np.frombuffer(merged(rows)["weights"].iloc[0], np.float32).copy()
+        out = keep(out, "means")  # a round's shuffle goes when it's written
+        means = out.toPandas()
+        let_go(out)
+        if len(means):
+            flat = np.frombuffer(merged(means)["weights"].iloc[0], np.float32).copy()
     return flat[: shape.length()]
 
 

@@ -199,3 +199,43 @@ def test_hashes_tell_words_apart():
     data = np.frombuffer(b"ab AB ba", np.uint8)
     h = words.hashes(data, *words.spans(data))
     assert h[0] == h[1] != h[2]
+
+
+def test_all_windows_are_learnt_from(spark):
+    texts = [f"{'Some words ' * (k % 90)} end{k}" for k in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    known = language_model.Subwords(PATH, PATTERN)
+    want = sum(-(-(1 + sum(len(known.spelt(w.encode())) for w in tokens(t) if w)) // attention.STRIDE) for t in texts)
+    windows = language_model.gathered(df, PATH, PATTERN).where("kind = 2").select("ids")
+    rows = language_model.dealt(windows, 5).collect()
+    assert len(rows) == want and {r.turn for r in rows} == set(range(language_model.ROUNDS)) and {r.shard for r in rows} == set(range(5))
+
+
+def test_places_before_the_first_target_are_only_read():
+    """The slopes are those of all places, with nothing said about the first ones."""
+    shape, flat = small()
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 20, (2, attention.WINDOW)), rng.integers(0, 7, (2, attention.WINDOW))
+    y[:, : attention.CONTEXT] = -1
+    state, moved = np.zeros_like(flat), flat.copy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        attention.steps(moved, state, shape, x, y, 1)
+
+    def loss(v):
+        return -np.mean([by_loops(v, shape, x[k])[t, y[k, t]] for k in range(2) for t in range(attention.CONTEXT, attention.WINDOW)])
+
+    for at in [*rng.choice(len(flat), 20, replace=False), 90, 100, 130]:
+        plus, minus = flat.astype(np.float64), flat.astype(np.float64)
+        plus[at] += 1e-4
+        minus[at] -= 1e-4
+        assert math.sqrt(state[at]) == pytest.approx(abs(loss(plus) - loss(minus)) / 2e-4, abs=2e-4)
+
+
+def test_a_window_scores_alike_at_every_place():
+    shape = attention.Shape(4096, 159)
+    rng = np.random.default_rng(0)
+    flat = shape.start(np.full(160, 1 / 160))
+    scorer = attention.Scorer(flat + rng.normal(0, 0.3, len(flat)).astype(np.float32), shape)
+    x, y = rng.integers(0, 4096, (1, attention.WINDOW)), rng.integers(0, 160, (1, attention.STRIDE))
+    out = scorer(np.repeat(x, 100, 0), np.repeat(y, 100, 0))
+    assert (out == out[:1]).all()
