@@ -26,6 +26,8 @@ from ferrule.plans.stages import written
 MOST_PIVOTS, PER_PIVOT, BLOCK = 1024, 256, 512
 #: Points of a block where all are compared, distances made at once, and pairs or copies made at once.
 WHOLE, AT_ONCE, SOME = 16_384, 1 << 20, 1 << 16
+#: Points of a block where pairs are only counted, and of the tiles (of rows and columns) whose products stay in a core's cache.
+COUNTED, TILE = 65_536, (64, 4096)
 #: Blocks that few points are cut into, for the sake of cores, and tasks at most.
 LEAST, MOST_TASKS = 8, 1000
 #: What a copy of a point costs, in distances.
@@ -47,7 +49,7 @@ def _lengths(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
+def matrix(vectors: pa.Array) -> np.ndarray:
     sizes = np.diff(np.asarray(vectors.offsets))
     if len(sizes) and (sizes != sizes[0]).any():
         raise ValueError("vectors must be of one length")
@@ -65,7 +67,7 @@ def _cells(points: DataFrame, radius: float) -> tuple[Callable[[np.ndarray], tup
         reach = np.full(len(sent.value), -1.0)
         for batch in batches:
             if len(batch):
-                d = _lengths(_matrix(batch.column(0)), sent.value)
+                d = _lengths(matrix(batch.column(0)), sent.value)
                 np.maximum.at(reach, d.argmin(1), d.min(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(reach), dtype=np.int32)), pa.array(reach)], ["cell", "reach"])
 
@@ -86,7 +88,7 @@ def _cells(points: DataFrame, radius: float) -> tuple[Callable[[np.ndarray], tup
         total = np.zeros((2, k), np.int64)
         for batch in batches:
             if len(batch):
-                inside, home = near(_matrix(batch.column(0)))
+                inside, home = near(matrix(batch.column(0)))
                 total += np.bincount(home, minlength=k), inside.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), *map(pa.array, total)], ["cell", "own", "all"])
 
@@ -106,7 +108,7 @@ def placed(points: DataFrame, radius: float) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             if not len(batch):
                 continue
-            inside, home = near(_matrix(batch.column(1)))
+            inside, home = near(matrix(batch.column(1)))
             row, cell = np.nonzero(inside)
             for lo in range(0, len(row), SOME):
                 r, c = row[lo : lo + SOME], cell[lo : lo + SOME]
@@ -153,7 +155,7 @@ def within(points: DataFrame, radius: float, most: int | None = None) -> DataFra
         left, right = (group.filter(pa.array(side)) for side in (first, ~first))
         if not len(left) or not len(right):
             return
-        x, y = (_matrix(side["vector"].combine_chunks()) for side in (left, right))
+        x, y = (matrix(side["vector"].combine_chunks()) for side in (left, right))
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         bound, step = radius + SLACK * (1 + np.abs(x).max() * x.shape[1] ** 0.5), max(1, AT_ONCE // len(y))
         for lo in range(0, len(x), step):
@@ -180,3 +182,68 @@ def similar(points: DataFrame, least: float) -> DataFrame:
     unit = points.where(F.exists("vector", lambda x: x != 0)).select("id", normalised(F.col("vector")).alias("vector"))
     found = within(unit, float(max(0.0, 2 - 2 * least)) ** 0.5 + 1e-9)
     return found.select("a", "b", (1 - F.col("distance") * F.col("distance") / 2).alias("score")).where(F.col("score") >= least - 1e-12)
+
+
+class Near:
+    """Which rows of unit vectors x and y are of cosine `least` or more, by the same definition as `similar`: products in single
+    precision say it of most pairs, and those too near to the bound are measured exactly."""
+
+    def __init__(self, y: np.ndarray, least: float) -> None:
+        self.y, self.single = y, np.ascontiguousarray(y.T, np.float32)
+        self.least, self.radius = least, float(max(0.0, 2 - 2 * least)) ** 0.5 + 1e-9
+        self.slack = np.float32(4e-7 * (8 + y.shape[1]))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        product = x.astype(np.float32) @ self.single
+        maybe, out = product >= np.float32(self.least) - self.slack, product > np.float32(self.least) + self.slack
+        if np.count_nonzero(maybe) > np.count_nonzero(out):
+            i, j = np.divmod(np.flatnonzero(maybe ^ out), product.shape[1])
+            for at in range(0, len(i), SOME):
+                a, b = i[at : at + SOME], j[at : at + SOME]
+                d = np.sqrt(((x[a] - self.y[b]) ** 2).sum(1))
+                out[a, b] = (d <= self.radius) & (1 - d * d / 2 >= self.least - 1e-12)
+        return out
+
+
+def _trues(x: np.ndarray) -> np.ndarray:
+    """How many of each row are true; eight bytes are added at once, up to 255 times."""
+    n = x.shape[1] // 1024 * 1024
+    by = x[:, :n].reshape(len(x), -1, 1024).view(np.uint64).sum(2, dtype=np.uint64)
+    return by.view(np.uint8).sum(1, dtype=np.int64) + np.count_nonzero(x[:, n:], 1)
+
+
+def around(asking: DataFrame, answering: DataFrame, least: float) -> DataFrame:
+    """(id, n) of asking points (id, vector): the sum of n of the answering ones (id, vector, n) of cosine `least` or more, and of
+    the same id. Unit vectors. Blocks of one are met with blocks of the other, and only sums come out, however many pairs there are."""
+    kind = asking.schema["id"].dataType.simpleString()
+    many = [max(1, -(-n // COUNTED)) for n in (asking.count(), answering.count())]
+    many[0] = max(many[0], -(-LEAST // many[1]))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    left = asking.select(own(many[0]).alias("i"), every(many[1]).alias("j"), F.lit(True).alias("first"), "id", "vector", F.lit(0).cast("long").alias("n"))
+    right = answering.select(every(many[0]).alias("i"), own(many[1]).alias("j"), F.lit(False).alias("first"), "id", "vector", F.col("n").cast("long").alias("n"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).select(["first", "id", "vector", "n"])
+        first = group["first"].to_numpy()
+        left, right = (group.filter(pa.array(side)).combine_chunks() for side in (first, ~first))
+        if not len(left) or not len(right):
+            return
+        x, y = (matrix(side["vector"].combine_chunks()) for side in (left, right))
+        weight = right["n"].to_numpy().astype(np.float64)
+        alone = bool((weight == 1).all())
+        _, mine, its = np.intersect1d(left["id"].to_numpy(), right["id"].to_numpy(), return_indices=True)
+        same, sums = np.full(len(x), -1), np.zeros(len(x), np.int64)
+        same[mine] = its
+        rows, columns = TILE
+        for at in range(0, len(y), columns):
+            near = Near(y[at : at + columns], least)
+            for lo in range(0, len(x), rows):
+                met, own = near(x[lo : lo + rows]), same[lo : lo + rows] - at
+                here = np.flatnonzero((own >= 0) & (own < columns))
+                met[here, own[here]] = True
+                sums[lo : lo + rows] += _trues(met) if alone else (met @ weight[at : at + columns]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([left["id"].combine_chunks(), pa.array(sums)], ["id", "n"])
+
+    rows = left.unionByName(right).repartition(min(MOST_TASKS, many[0] * many[1]), "i", "j")
+    return rows.groupBy("i", "j").applyInArrow(summed, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))

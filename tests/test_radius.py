@@ -119,3 +119,23 @@ def test_guests_are_not_copied_into_all_cells(spark, monkeypatch):
     for k in range(300):
         want = sorted(d[k][d[k] <= 7.0])[:3]
         assert np.allclose(sorted(p.distance for p in some if p.a == k)[:3], want)
+
+
+def test_communities_without_pairs(spark, monkeypatch):
+    """Neighbours are counted, never written as pairs, and batches of groups are decided as one after the other would be."""
+    monkeypatch.setattr(clustering, "similar", None)
+    monkeypatch.setattr(clustering, "BATCH", 40)
+    for name, value in {"COUNTED": 70, "TILE": (8, 16)}.items():
+        monkeypatch.setattr(radius, name, value)
+    rows = points(7, 240, 3, 60) | {1000: [0.0, 0.0, 0.0]}
+    ids, x = list(rows)[:-1], np.array(list(rows.values()))[:-1]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    taken, want = set(), set()
+    for i in sorted(range(len(ids)), key=lambda i: (-near[i].sum(), ids[i])):
+        left = [ids[j] for j in np.flatnonzero(near[i]) if ids[j] not in taken]
+        if len(left) >= 3:
+            want |= {(ids[i], j) for j in left}
+            taken |= set(left)
+    assert {(r.community, r.id) for r in clustering.communities(frame(spark, rows), 0.9, 3).collect()} == want
+    assert clustering.communities(frame(spark, rows).limit(0), 0.9, 3).collect() == []
