@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.plans.stages import written
+
+#: Trees of a forest and bins of a predictor, as MLlib has them; cells (of all targets) up to which forests are fitted to cells.
+TREES, BINS, CELLS = 20, 32, 1 << 17
+#: Rows added up at once, and trees fitted at once.
+SOME, AT_ONCE = 1 << 16, 8
+
 
 def pearson_pairs(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for each pair a < b of numeric columns; one pass over the table."""
@@ -183,9 +194,98 @@ def kernel_lasso_sets(table: DataFrame, columns: Sequence[str], alpha: float = 0
     return _strongest(lasso_weights(np.atleast_2d(np.cov(kernel, rowvar=False, bias=True)), alpha), columns, k)
 
 
-def forest_sets(table: DataFrame, columns: Sequence[str], k: int, seed: int = 0) -> list[list[str]]:
-    """For each column the k - 1 most important predictors in a random forest for it, and itself."""
+def _edges(rows: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
+    """For each column the values that end its bins but the last: of up to BINS different values all, of more the quantiles."""
+    at = [k / BINS for k in range(1, BINS)]
+    found = rows.agg(*[F.approx_count_distinct(c) for c in columns], *[F.percentile_approx(c, at, 10_000) for c in columns]).first()
     out = []
+    for k, c in enumerate(columns):
+        edges = found[len(columns) + k] or []
+        if found[k] <= 2 * BINS:
+            values = sorted(r[0] for r in rows.select(c).distinct().limit(BINS + 1).collect())
+            edges = values[:-1] if len(values) <= BINS else edges
+        out.append(np.unique(edges))
+    return out
+
+
+def _cells(rows: DataFrame, columns: Sequence[str], edges: list[np.ndarray], seed: int) -> DataFrame:
+    """(target, cell, w, s): for each target (a place in columns) the cells of the other columns' bins, and for each tree how
+    often the cell's rows are drawn and the target's sum over them. A row is drawn for a tree as often as a Poisson number of mean 1
+    says, as MLlib's forests do. One pass; a task holds its sums only."""
+    sizes = [len(e) + 1 for e in edges]
+    shapes = [[1 if k == t else n for k, n in enumerate(sizes)] for t in range(len(columns))]
+    names = [f"{x}{k}" for x in "ws" for k in range(TREES)]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        sums = [np.zeros((2 * TREES, int(np.prod(shape)))) for shape in shapes]
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            x = [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            bins = [np.searchsorted(e, v) for e, v in zip(edges, x, strict=True)]
+            times = [rng.poisson(1.0, len(x[0])).astype(np.float64) for _ in range(TREES)]
+            for t, shape in enumerate(shapes):
+                cell = np.ravel_multi_index([np.zeros_like(b) if k == t else b for k, b in enumerate(bins)], shape)
+                for k, w in enumerate(times):
+                    sums[t][k] += np.bincount(cell, w, sums[t].shape[1])
+                    sums[t][TREES + k] += np.bincount(cell, w * x[t], sums[t].shape[1])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= SOME:
+                add(held)
+                held, n = [], 0
+        if n:
+            add(held)
+        for t, both in enumerate(sums):
+            cell = np.flatnonzero(both[:TREES].any(0))
+            made = [pa.array(np.full(len(cell), t, np.int32)), pa.array(cell), *[pa.array(v[cell]) for v in both]]
+            yield pa.RecordBatch.from_arrays(made, ["target", "cell", *names])
+
+    each = rows.select(*columns).mapInArrow(drawn, "target int, cell long, " + ", ".join(f"{n} double" for n in names))
+    return each.groupBy("target", "cell").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _importances(rows: DataFrame, columns: Sequence[str], edges: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """For each column the importance of the columns in a random forest for it (its own is 0).
+
+    MLlib's trees see a predictor's bin only, and what a split gains is what it moves the bins' means apart. So a tree of the
+    cells, each with its mean and how often its rows were drawn, is the tree of the rows: rows are read once for
+    all trees of all targets, and trees are fitted to as many cells as bins make, however many rows there are."""
+    sizes = [len(e) + 1 for e in edges]
+    cells = written(_cells(rows, columns, edges, seed).coalesce(1), "cells")
+    out = [np.zeros(len(columns)) for _ in columns]
+
+    def fitted(job: tuple[int, int]) -> tuple[int, list[int], np.ndarray]:
+        t, tree = job
+        others = [k for k in range(len(columns)) if k != t]
+        step = {k: int(np.prod([sizes[j] for j in others if j > k])) for k in others}
+        bins = [((F.col("cell") / step[k]).cast("long") % sizes[k]).cast("double").alias(columns[k]) for k in others]
+        each = cells.where((F.col("target") == t) & (F.col(f"w{tree}") > 0)).select(*bins, F.col(f"w{tree}").alias("_times"), (F.col(f"s{tree}") / F.col(f"w{tree}")).alias("_mean"))
+        each = VectorAssembler(inputCols=[columns[k] for k in others], outputCol="_features").transform(each)
+        forest = RandomForestRegressor(featuresCol="_features", labelCol="_mean", weightCol="_times", numTrees=1, featureSubsetStrategy="onethird", maxBins=BINS, seed=seed + tree)
+        return t, others, forest.fit(each).featureImportances.toArray()
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for t, others, found in pool.map(fitted, [(t, tree) for t in range(len(columns)) for tree in range(TREES)]):
+            out[t][others] += found
+    return out
+
+
+def forest_sets(table: DataFrame, columns: Sequence[str], k: int, seed: int = 0) -> list[list[str]]:
+    """For each column the k - 1 most important predictors in a random forest for it, and itself. Where the columns' bins make
+    more than CELLS cells, forests are fitted to the rows, one after the other."""
+    columns, out = list(columns), []
+    rows = _whole_rows(table, columns)
+    edges = _edges(rows, columns)
+    sizes = [len(e) + 1 for e in edges]
+    if len(columns) > 1 and sum(math.prod(sizes) // n for n in sizes) <= CELLS and not rows.isEmpty():
+        for t, found in enumerate(_importances(rows, columns, edges, seed)):
+            order = sorted((i for i in range(len(columns)) if i != t), key=lambda i: (-float(found[i]), columns[i]))
+            out.append([*(columns[i] for i in order[: k - 1]), columns[t]])
+        return out
     for target in columns:
         rows, others = _assembled(table, columns, target)
         fit = RandomForestRegressor(labelCol=target, seed=seed).fit(rows)
