@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from ferrule.catalog import QUERIES
 from ferrule.operators import phrases
 
@@ -63,3 +65,36 @@ def test_runs_are_counted_without_moving_rows(spark):
     found = phrases.frequent_phrases(docs, 3, 1)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {r.phrase: r.n for r in found.collect()} == {"a_b": 2, "b_a": 1, "a_b_a": 1, "b_a_b": 1}
+
+
+def test_rows_stay_where_phrases_are_few(spark, monkeypatch):
+    """Rows are covered where they are, in slices; those with a null token or a separator in one meet the phrases by a join, with the same result."""
+    monkeypatch.setattr(phrases, "AT_ONCE", 30)
+    rows = [(1, ["New", "York", "is", "New", "YORK"]), (2, []), (3, None), (4, ["", "is", "new"]), (5, ["İs", "new", "york"])]
+    odd = [(6, ["New_York", "is", "new"]), (7, ["is", None, "new"]), (8, ["a_b", None, "c"])]
+    docs = lambda r: spark.createDataFrame(r, "id long, tokens array<string>")
+    table = spark.createDataFrame([("New_York",), ("new_york",), ("is_new",), ("new_york_is",)], "phrase string")
+    even = phrases.phrase_tokens(docs(rows), table, 3)
+    assert "Exchange" not in even._jdf.queryExecution().executedPlan().toString()
+    want = {1: (["new_york_is", "new_york"], 2), 2: ([], 0), 3: ([], 0), 4: (["", "is_new"], 1), 5: (["İs", "new_york"], 1)}
+    assert {r.id: (r.tokens, r.n_phrases) for r in even.collect()} == want
+    both = sorted(phrases.phrase_tokens(docs(rows + odd), table, 3).collect(), key=lambda r: r.id)
+    monkeypatch.setattr(phrases, "BROADCAST_PHRASES", 0)
+    assert both == sorted(phrases.phrase_tokens(docs(rows + odd), table, 3).collect(), key=lambda r: r.id)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_only_runs_of_frequent_runs_are_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(phrases, "AT_ONCE", 200)
+    monkeypatch.setattr(phrases, "BROADCAST_PHRASES", most)
+    rng = random.Random(8)
+    rows = [[rng.choice(["a", "A", "b", "c", "a_b", "b_c_a", "", None, "d", "D", "É"][: rng.choice([4, 11])]) for _ in range(rng.choice([0, 1, 3, 12]))] for _ in range(60)]
+    seen = {}
+    for k, t in enumerate(rows):
+        for n in (2, 3, 4):
+            for at in range(len(t) - n + 1):
+                seen.setdefault("_".join(w for w in t[at : at + n] if w is not None).lower(), set()).add(k)
+    found = phrases.frequent_phrases(spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "row long, tokens array<string>"), 4, 5)
+    assert {r.phrase: r.n for r in found.collect()} == {p: len(k) for p, k in seen.items() if len(k) >= 5}
+    counted = phrases._counted(spark.createDataFrame([("x_y_x_z", False)], "lower string, uneven boolean"), 2, spark.createDataFrame([("x",), ("y",)], "phrase string"), "_")
+    assert {r.phrase for r in counted.collect()} == {"x_y", "y_x"}
