@@ -205,6 +205,35 @@ class Near:
         return out
 
 
+class Close:
+    """Which rows of x and y are no farther apart than the radius, by the same definition as `within`: products say it of most pairs, and
+    those too near to the bound are measured exactly. In single precision where that decides nearly all."""
+
+    def __init__(self, y: np.ndarray, radius: float) -> None:
+        self.y, self.radius, self.middle = y, radius, y.mean(0)
+        moved = y - self.middle
+        self.square = (moved * moved).sum(1)
+        self.single = bool(self.square.max(initial=0) < min(1e30, 1e3 * radius * radius))
+        self.turned = np.ascontiguousarray(moved.T, np.float32 if self.single else np.float64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        moved = x - self.middle
+        square = (moved * moved).sum(1)
+        single = self.single and bool(square.max(initial=0) < 1e30)
+        kind = np.float32 if single else np.float64
+        d = (-2 * moved).astype(kind) @ self.turned
+        d += square.astype(kind)[:, None]
+        d += self.square.astype(kind)[None]
+        slack = (8e-7 if single else 2e-15) * (8 + x.shape[1]) * (square.max(initial=0) + self.square.max(initial=0) + self.radius * self.radius)
+        maybe, out = d <= kind(self.radius * self.radius + slack), d < kind(self.radius * self.radius - slack)
+        if np.count_nonzero(maybe) > np.count_nonzero(out):
+            i, j = np.divmod(np.flatnonzero(maybe ^ out), d.shape[1])
+            for at in range(0, len(i), SOME):
+                a, b = i[at : at + SOME], j[at : at + SOME]
+                out[a, b] = np.sqrt(((x[a] - self.y[b]) ** 2).sum(1)) <= self.radius
+        return out
+
+
 def _trues(x: np.ndarray) -> np.ndarray:
     """How many of each row are true; eight bytes are added at once, up to 255 times."""
     n = x.shape[1] // 1024 * 1024
@@ -212,38 +241,106 @@ def _trues(x: np.ndarray) -> np.ndarray:
     return by.view(np.uint8).sum(1, dtype=np.int64) + np.count_nonzero(x[:, n:], 1)
 
 
-def around(asking: DataFrame, answering: DataFrame, least: float) -> DataFrame:
-    """(id, n) of asking points (id, vector): the sum of n of the answering ones (id, vector, n) of cosine `least` or more, and of
-    the same id. Unit vectors. Blocks of one are met with blocks of the other, and only sums come out, however many pairs there are."""
-    kind = asking.schema["id"].dataType.simpleString()
+def _faced(asking: DataFrame, answering: DataFrame) -> DataFrame:
+    """(i, j, first, id, vector, said) of both (id, vector, said), cut into blocks: each group i, j is a block of the first with one of the second."""
     many = [max(1, -(-n // COUNTED)) for n in (asking.count(), answering.count())]
     many[0] = max(many[0], -(-LEAST // many[1]))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
-    left = asking.select(own(many[0]).alias("i"), every(many[1]).alias("j"), F.lit(True).alias("first"), "id", "vector", F.lit(0).cast("long").alias("n"))
-    right = answering.select(every(many[0]).alias("i"), own(many[1]).alias("j"), F.lit(False).alias("first"), "id", "vector", F.col("n").cast("long").alias("n"))
+    left = asking.select(own(many[0]).alias("i"), every(many[1]).alias("j"), F.lit(True).alias("first"), "id", "vector", "said")
+    right = answering.select(every(many[0]).alias("i"), own(many[1]).alias("j"), F.lit(False).alias("first"), "id", "vector", "said")
+    return left.unionByName(right).repartition(min(MOST_TASKS, many[0] * many[1]), "i", "j")
+
+
+def sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
+    """The first ones of a group (first, id, vector, said), and the others."""
+    group = pa.Table.from_batches(batches).select(["first", "id", "vector", "said"])
+    first = group["first"].to_numpy()
+    left, right = (group.filter(pa.array(side)).combine_chunks() for side in (first, ~first))
+    return left, right
+
+
+def around(asking: DataFrame, answering: DataFrame, least: float, near: type = Near, enough: int | None = None) -> DataFrame:
+    """(id, n) of asking points (id, vector): the sum of n of the answering ones (id, vector, n) of cosine `least` or more, and of
+    the same id. Unit vectors. Blocks of one are met with blocks of the other, and only sums come out, however many pairs there are.
+    near: what says it (`Close`: no farther apart than `least`). enough: sums of so much or more may be any that are."""
+    kind = asking.schema["id"].dataType.simpleString()
+    rows = _faced(asking.withColumn("said", F.lit(0).cast("long")), answering.withColumn("said", F.col("n").cast("long")))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(batches).select(["first", "id", "vector", "n"])
-        first = group["first"].to_numpy()
-        left, right = (group.filter(pa.array(side)).combine_chunks() for side in (first, ~first))
+        left, right = sides(batches)
         if not len(left) or not len(right):
             return
         x, y = (matrix(side["vector"].combine_chunks()) for side in (left, right))
-        weight = right["n"].to_numpy().astype(np.float64)
+        weight = right["said"].to_numpy().astype(np.float64)
         alone = bool((weight == 1).all())
         _, mine, its = np.intersect1d(left["id"].to_numpy(), right["id"].to_numpy(), return_indices=True)
         same, sums = np.full(len(x), -1), np.zeros(len(x), np.int64)
         same[mine] = its
         rows, columns = TILE
         for at in range(0, len(y), columns):
-            near = Near(y[at : at + columns], least)
-            for lo in range(0, len(x), rows):
-                met, own = near(x[lo : lo + rows]), same[lo : lo + rows] - at
+            nearby = near(y[at : at + columns], least)
+            todo = np.arange(len(x)) if enough is None else np.flatnonzero(sums < enough)
+            for lo in range(0, len(todo), rows):
+                some = todo[lo : lo + rows]
+                met, own = nearby(x[some]), same[some] - at
                 here = np.flatnonzero((own >= 0) & (own < columns))
                 met[here, own[here]] = True
-                sums[lo : lo + rows] += _trues(met) if alone else (met @ weight[at : at + columns]).astype(np.int64)
+                sums[some] += _trues(met) if alone else (met @ weight[at : at + columns]).astype(np.int64)
         yield pa.RecordBatch.from_arrays([left["id"].combine_chunks(), pa.array(sums)], ["id", "n"])
 
-    rows = left.unionByName(right).repartition(min(MOST_TASKS, many[0] * many[1]), "i", "j")
     return rows.groupBy("i", "j").applyInArrow(summed, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def least_around(asking: DataFrame, answering: DataFrame, least: float, near: type = Near) -> DataFrame:
+    """(id, least) of asking points (id, vector): the smallest `said` of the answering ones (id, vector, said) that are near."""
+    kind, type_ = (df.schema[c].dataType.simpleString() for df, c in ((asking, "id"), (answering, "said")))
+    rows = _faced(asking.withColumn("said", F.lit(None).cast(type_)), answering)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = sides(batches)
+        if not len(left) or not len(right):
+            return
+        right = right.sort_by("said")
+        x, y = (matrix(side["vector"].combine_chunks()) for side in (left, right))
+        first, columns = np.full(len(x), -1), TILE[1]
+        for at in range(0, len(y), columns):  # the first that is near has the smallest
+            nearby, todo = near(y[at : at + columns], least), np.flatnonzero(first < 0)
+            for lo in range(0, len(todo), TILE[0]):
+                some = todo[lo : lo + TILE[0]]
+                met = nearby(x[some])
+                first[some] = np.where(met.any(1), met.argmax(1) + at, -1)
+        good = np.flatnonzero(first >= 0)
+        yield from pa.table([left["id"].take(pa.array(good)), right["said"].take(pa.array(first[good]))], ["id", "least"]).combine_chunks().to_batches()
+
+    return rows.groupBy("i", "j").applyInArrow(smallest, f"id {kind}, least {type_}").groupBy("id").agg(F.min("least").alias("least"))
+
+
+def joined(x: np.ndarray, y: np.ndarray, part: np.ndarray, least: float, near: type, inner: bool) -> np.ndarray:
+    """Parts (0, 1, ...) of points after what is near is joined: of x with x (inner), or of x with y, whose parts follow those of x.
+
+    Points of the largest part aren't compared with one another: whatever of them is near another part is met from there."""
+    ends = [(x, 0, 0)] if inner else [(x, 0, len(x)), (y, len(x), 0)]
+    cut = [[(at, near(other[at : at + TILE[1]], least)) for at in range(0, len(other), TILE[1])] for other in ([x] if inner else [y, x])]
+    part, met = part.copy(), np.zeros(len(part), bool)
+    # at the end all points outside the largest part, on both sides, have met all of the other
+    while True:
+        apart = (part != np.bincount(part).argmax()) & ~met
+        for (mine, start, its), tiles in zip(ends, cut, strict=True):
+            todo = np.flatnonzero(apart[start : start + len(mine)])[: TILE[0]]
+            if not len(todo):
+                continue
+            met[start + todo] = True
+            for at, nearby in tiles:
+                found = nearby(mine[todo])
+                theirs = part[its + at : its + at + found.shape[1]]  # a view: what is joined below is seen here
+                for row in np.flatnonzero(found.any(1)):
+                    has = theirs[found[row]]
+                    own = part[start + todo[row]]
+                    if (has != own).any():
+                        both = np.zeros(part.max() + 1, bool)
+                        both[has], both[own] = True, True
+                        part[both[part]] = np.flatnonzero(both)[0]
+            break
+        else:
+            return part

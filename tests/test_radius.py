@@ -139,3 +139,33 @@ def test_communities_without_pairs(spark, monkeypatch):
             taken |= set(left)
     assert {(r.community, r.id) for r in clustering.communities(frame(spark, rows), 0.9, 3).collect()} == want
     assert clustering.communities(frame(spark, rows).limit(0), 0.9, 3).collect() == []
+
+
+@pytest.mark.parametrize(("r", "least"), [(0.15, 5), (0.4, 3), (0.4, 60), (30.0, 3)])
+def test_density_clusters_without_pairs(spark, monkeypatch, r, least):
+    """Cores are counted and joined block by block, and no pairs are written."""
+    for module, name, value in [(clustering, "within", None), (clustering, "similar", None), (clustering, "COUNTED", 70), (radius, "COUNTED", 70), (radius, "TILE", (8, 16)), (clustering, "FIRST", 50)]:
+        monkeypatch.setattr(module, name, value)
+    rows = points(9)
+    assert {x.id: x.cluster for x in clustering.dbscan(frame(spark, rows), r, least).collect()} == by_definition(rows, r, least)
+
+
+def test_chains_are_joined_across_blocks():
+    """Parts of two sides whose largest changes while they are joined."""
+    rng = np.random.default_rng(10)
+    for n, m in [(30, 1), (1, 30), (40, 45), (200, 180)]:
+        z = rng.uniform(0, 1, (n + m, 2)) * [n + m, 0.5]
+        near = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)) <= 1.0
+        inner = [radius.joined(side, side, np.arange(len(side)), 1.0, radius.Close, True) for side in (z[:n], z[n:])]
+        got = radius.joined(z[:n], z[n:], np.r_[inner[0], inner[1] + n], 1.0, radius.Close, False)
+        reach = near.copy()
+        for _ in range(10):
+            reach = reach @ reach
+        assert ((got[:, None] == got[None]) == reach).all()
+
+
+def test_near_the_radius_is_measured_exactly():
+    for middle, r in [(0.0, 0.5), (1e6, 0.5), (0.0, 0.0), (0.0, 1e30)]:
+        x = middle + np.array([[0.0, 0.0], [0.3, 0.4], [0.3, 0.4 + 1e-9], [0.5, 0.0], [0.3, 0.4]])
+        want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= r
+        assert (radius.Close(x, r)(x) == want).all()
