@@ -169,3 +169,14 @@ def test_near_the_radius_is_measured_exactly():
         x = middle + np.array([[0.0, 0.0], [0.3, 0.4], [0.3, 0.4 + 1e-9], [0.5, 0.0], [0.3, 0.4]])
         want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= r
         assert (radius.Close(x, r)(x) == want).all()
+
+
+def test_seeds_of_density_clusters_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "within", None)
+    rows = points(11, 200, 2, 60)
+    df = frame(spark, rows)
+    label = by_definition(rows, 0.4, 3)
+    named = {c: k for k, c in enumerate(sorted(set(label.values()), key=lambda c: -1 if c is None else c))}
+    centre = np.array([np.mean([rows[i] for i in rows if label[i] == c], 0) for c in named])
+    want = {i: int(np.sqrt(((centre - v) ** 2).sum(1)).argmin()) for i, v in rows.items()}
+    assert {r.id: r.cluster for r in clustering.density_seeded_k_means(df, df, 0.4, 3, 0).collect()} == want
